@@ -8,12 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions.missing import valid_number
-from tonearm.llm import copies, tokens, topn
+from tonearm.llm import copies, nearest, tokens, topn
 from tonearm.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+VECTOR = ["danceability", "energy", "valence", "acousticness"]
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = table(spark, folder, "data_encoded")
+    first = nearest.one_row_per_key(encoded, "track_id", "vec_id", VECTOR)
+    usable = first.filter(" and ".join(f"{c} >= 0 and {c} <= 1" for c in VECTOR))
+    pairs = nearest.nearest_pairs(usable, "vec_id", VECTOR, k=5)
+    return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), F.col("d").alias("distance"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_pairs(spark, folder).select("vec_id_a", "vec_id_b")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = copies.copy_pairs(table(spark, folder, "data_tracks"), "row_id", "artist_name", "track_name")
     return pairs.select(F.col("first").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
@@ -42,6 +57,8 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_pairs": p1_pairs,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p5_found": p5_found,
