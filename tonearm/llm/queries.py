@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions.missing import valid_number
-from tonearm.llm import copies, nearest, tokens, topn
+from tonearm.llm import copies, history, nearest, tokens, topn
 from tonearm.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_pairs(spark, folder).select("vec_id_a", "vec_id_b")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history.repeated_rows(
+        table(spark, folder, "data_tracks"), table(spark, folder, "added_artists"),
+        "row_id", "added_id", "batch_no", "artist_name", "track_name", "track_id",
+    )
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = copies.copy_pairs(table(spark, folder, "data_tracks"), "row_id", "artist_name", "track_name")
     return pairs.select(F.col("first").alias("row_id_a"), F.col("row_id").alias("row_id_b"))
@@ -59,6 +66,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p5_found": p5_found,
