@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions.missing import valid_number
-from tonearm.llm import copies, history, nearest, tokens, topn
+from tonearm.llm import abuse, copies, history, nearest, tokens, topn
 from tonearm.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,18 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, folder, "documents"), ["doc_id", "source"], "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.abuse_rates(p8_scores(spark, folder), "source")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -72,4 +84,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_ranked": p5_ranked,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
