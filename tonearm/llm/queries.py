@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.functions.missing import valid_number
-from tonearm.llm import abuse, copies, history, nearest, tokens, topn
+from tonearm.llm import abuse, copies, history, mixing, nearest, tokens, topn
 from tonearm.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,21 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(
+        table(spark, folder, "documents"), table(spark, folder, "mix_targets"),
+        "doc_id", "text", "source", ["lang", "agenda_item"],
+    )
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.abuse_scores(table(spark, folder, "documents"), ["doc_id", "source"], "text")
 
@@ -84,6 +99,8 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_ranked": p5_ranked,
     "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
