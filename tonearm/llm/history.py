@@ -35,10 +35,11 @@ LONG, LONG_GRAM, SHORT_GRAM = 14, (6, 4), (3, 2)
 ASK_SHORT = 20
 #: Least share of a stored title's fingerprints that a repetition must have.
 COVERAGE = 0.15
-BITS_PER_ENTRY, HASHES, ENTRIES_PER_PART, ROWS_PER_BUCKET = 12, 4, 500_000, 60_000
+BITS_PER_ENTRY, HASHES, ROWS_PER_BUCKET = 12, 4, 60_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _READ = "ident bigint, ord int, idk string, cid bigint, artist string, words string, numbers string, cut boolean"
+_FILTERS = "kind string, bucket int, size bigint, bits binary"
 _STORED = "bucket int, cid bigint, artist string, words string, numbers string, cut boolean, n int, fps array<int>"
 
 
@@ -146,19 +147,15 @@ def _once_per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.take(pa.array(np.sort(first)))
 
 
-def _with_fingerprints(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            artists = batch.column("artist").to_pylist()
-            letters = [w.replace(" ", "") for w in batch.column("words").to_pylist()]
-            fps = fingerprints(letters, artists, asking=False)
-            kept = [batch.column(c) for c in ("bucket", "cid", "artist", "words", "numbers", "cut")]
-            n = pa.array(np.diff(fps.offsets.to_numpy()).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*kept, n, fps], names=["bucket", "cid", "artist", "words", "numbers", "cut", "n", "fps"]
-            )
-
-    return run
+def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        artists = batch.column("artist").to_pylist()
+        letters = [w.replace(" ", "") for w in batch.column("words").to_pylist()]
+        fps = fingerprints(letters, artists, asking=False)
+        kept = [batch.column(c) for c in ("bucket", "cid", "artist", "words", "numbers", "cut")]
+        n = pa.array(np.diff(fps.offsets.to_numpy()).astype(np.int32))
+        names = ["bucket", "cid", "artist", "words", "numbers", "cut", "n", "fps"]
+        yield pa.RecordBatch.from_arrays([*kept, n, fps], names=names)
 
 
 def _with_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +163,7 @@ def _with_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         artists = batch.column("artist").to_pylist()
         letters = [w.replace(" ", "") for w in batch.column("words").to_pylist()]
         ask = fingerprints(letters, artists, asking=True)
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), ask], names=["cid", "ask"])
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("artist"), ask], names=["cid", "artist", "ask"])
 
 
 # ---- partitioned Bloom filters ------------------------------------------------------------------------------------
@@ -180,31 +177,40 @@ def _bloom_places(values: np.ndarray, bits: int) -> np.ndarray:
     return ((a[:, None] + steps[None, :] * b[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
-def _build_filters(bits: int):
+def _build_filters(kind: str, values: str):
+    """A filter for each bucket a partition of the store's files holds, as large as its content asks for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters: dict[int, np.ndarray] = {}
+        found: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            part, v = batch.column("part").to_numpy(), batch.column("v").to_numpy()
-            for p in np.unique(part):
-                flags = filters.setdefault(int(p), np.zeros(bits, bool))
-                flags[_bloom_places(v[part == p], bits).reshape(-1)] = True
-        packed = [np.packbits(f).tobytes() for f in filters.values()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(filters), pa.int32()), pa.array(packed, pa.binary())], names=["part", "bits"]
-        )
+            bucket, column = batch.column("bucket").to_numpy(), batch.column(values)
+            for b in np.unique(bucket):
+                own = column.filter(pa.array(bucket == b))
+                own = own.flatten() if pa.types.is_list(own.type) else own
+                found.setdefault(int(b), []).append(np.unique(own.to_numpy().astype(np.int64)))
+        rows = []
+        for b, parts in found.items():
+            v = np.unique(np.concatenate(parts))
+            bits = max(64, len(v) * BITS_PER_ENTRY)
+            flags = np.zeros(bits, bool)
+            flags[_bloom_places(v, bits).reshape(-1)] = True
+            rows.append((kind, b, bits, np.packbits(flags).tobytes()))
+        columns = list(zip(*rows)) or [()] * 4
+        types = [pa.string(), pa.int32(), pa.int64(), pa.binary()]
+        names = ["kind", "bucket", "size", "bits"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     return run
 
 
-def _prescreen(bits: int):
-    def run(asked: pa.Table, filters: pa.Table) -> pa.Table:
-        flags = np.zeros(bits, bool)
-        for packed in filters.column("bits").to_pylist():
-            flags |= np.unpackbits(np.frombuffer(packed, np.uint8), count=bits).astype(bool)
-        hit = flags[_bloom_places(asked.column("v").to_numpy(), bits)].all(1) if asked.num_rows else np.zeros(0, bool)
-        return asked.filter(pa.array(hit)).select(["kind", "key", "v"])
-
-    return run
+def _prescreen(asked: pa.Table, filters: pa.Table) -> pa.Table:
+    """The asked values that some filter of their bucket may hold."""
+    v = asked.column("v").to_numpy()
+    hit = np.zeros(len(v), bool)
+    for bits, packed in zip(filters.column("size").to_pylist(), filters.column("bits").to_pylist()):
+        flags = np.unpackbits(np.frombuffer(packed, np.uint8), count=bits).astype(bool)
+        hit |= flags[_bloom_places(v, bits)].all(1)
+    return asked.filter(pa.array(hit)).select(["kind", "bucket", "key", "v"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,31 +245,25 @@ def _plain_rows(df: DataFrame, ident: str, order: Column, artist: str, title: st
 class HistoryStore:
     """Everything accepted so far, in a folder all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int, parts: int, bits: int, runs: int) -> None:
-        self.spark, self.root = spark, root
-        self.buckets, self.parts, self.bits, self.runs = buckets, parts, bits, runs
+    def __init__(self, spark: SparkSession, root: str, buckets: int, runs: int) -> None:
+        self.spark, self.root, self.buckets, self.runs = spark, root, buckets, runs
 
     # -- creating and reopening
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, rows: DataFrame) -> HistoryStore:
         """A store holding ``rows`` (ident, ord, idk, artist, title)."""
-        count = rows.count()
-        entries = max(1, count) * 10 * 2  # about nine fingerprints and an id each, and room to double
-        parts = max(8, -(-entries // ENTRIES_PER_PART))
-        bits = -(-entries // parts) * BITS_PER_ENTRY // 8 * 8 + 8
-        store = cls(spark, root, max(8, -(-count // ROWS_PER_BUCKET)), parts, bits, 0)
-        meta = spark.createDataFrame([(store.buckets, parts, bits)], "buckets int, parts int, bits bigint")
-        meta.write.parquet(f"{root}/meta")
+        store = cls(spark, root, max(8, -(-rows.count() // ROWS_PER_BUCKET)), 0)
+        spark.createDataFrame([(store.buckets,)], "buckets int").write.parquet(f"{root}/meta")
         read = rows.mapInArrow(_once_per_batch, _READ).filter("cid is not null")
         store._append(read.select("cid", "artist", "words", "numbers", "cut"), rows.select("idk"))
         return store
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> HistoryStore:
-        meta = spark.read.parquet(f"{root}/meta").first()
+        buckets = spark.read.parquet(f"{root}/meta").first()["buckets"]
         runs = spark.read.parquet(f"{root}/filters").agg(F.max("run")).first()[0]
-        return cls(spark, root, meta["buckets"], meta["parts"], meta["bits"], int(runs) + 1)
+        return cls(spark, root, buckets, int(runs) + 1)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -273,29 +273,30 @@ class HistoryStore:
         """One run's share of a table; written again after a failure, it replaces itself."""
         path = f"{self.root}/{name}/run={self.runs:06d}"
         writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy("bucket") if "bucket" in df.columns else writer).parquet(path)
+        (writer if name == "filters" else writer.partitionBy("bucket")).parquet(path)
         return path
 
     def _append(self, titles: DataFrame, ids: DataFrame) -> None:
         n = shuffle_partitions(self.spark)
         per = max(1, n // self.buckets)  # pieces a bucket is written in, so that a hot artist is no single task
-        titles = titles.withColumn("bucket", F.pmod(F.xxhash64("artist"), F.lit(self.buckets)).cast("int"))
+        titles = titles.withColumn("bucket", self._bucket(F.xxhash64("artist")))
         titles = titles.withColumn("piece", F.pmod("cid", F.lit(per)))
         titles = titles.repartition(n, "bucket", "piece").dropDuplicates(["bucket", "piece", "cid"]).drop("piece")
-        contents = self._write(titles.mapInArrow(_with_fingerprints(self.buckets), _STORED), "titles")
+        contents = self._write(titles.mapInArrow(_with_fingerprints, _STORED), "titles")
         ids = ids.filter("idk is not null").withColumn("v", F.xxhash64("idk"))
-        ids = ids.withColumn("bucket", F.pmod("v", F.lit(self.buckets)).cast("int"))
+        ids = ids.withColumn("bucket", self._bucket(F.col("v")))
         ids = ids.repartition(n, "bucket", F.pmod(F.shiftright("v", 16), F.lit(per))).select("bucket", "idk")
         known = self._write(ids, "ids")
-        spark = self.spark
-        values = spark.read.schema(_STORED).parquet(contents).select(F.explode(F.col("fps").cast("array<bigint>")).alias("v"))
-        values = values.unionByName(spark.read.schema("idk string, bucket int").parquet(known).select(F.xxhash64("idk").alias("v")))
-        values = values.select(self._part().alias("part"), "v").repartition(min(n, self.parts), "part")
-        self._write(values.mapInArrow(_build_filters(self.bits), "part int, bits binary"), "filters")
+        # the filters are built where the files lie; nothing is shuffled
+        read = self.spark.read
+        fps = read.schema(_STORED).parquet(contents).select("bucket", "fps")
+        keys = read.schema("idk string, bucket int").parquet(known).select("bucket", F.xxhash64("idk").alias("v"))
+        filters = fps.mapInArrow(_build_filters("title", "fps"), _FILTERS)
+        self._write(filters.unionByName(keys.mapInArrow(_build_filters("id", "v"), _FILTERS)).coalesce(n), "filters")
         self.runs += 1
 
-    def _part(self) -> Column:
-        return F.pmod(F.xxhash64("v"), F.lit(self.parts)).cast("int")
+    def _bucket(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.buckets)).cast("int")
 
     def _table(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(f"{schema}, run int").parquet(f"{self.root}/{name}")
@@ -311,17 +312,21 @@ class HistoryStore:
         when = F.struct("ord", "ident")
         firsts = read.filter("cid is not null").groupBy("cid", "artist", "words", "numbers", "cut").agg(F.min(when).alias("at"))
         firsts = durable(firsts)
-        questions = durable(firsts.select("cid", "artist", "words").mapInArrow(_with_questions, "cid bigint, ask array<int>"))
+        questions = durable(firsts.select("cid", "artist", "words").mapInArrow(_with_questions, "cid bigint, artist string, ask array<int>"))
         ids = durable(read.filter("idk is not null").groupBy("idk").agg(F.min(when).alias("at")))
 
-        asked = questions.select(F.lit("title").alias("kind"), F.col("cid").alias("key"), F.explode(F.col("ask").cast("array<bigint>")).alias("v"))
-        asked = asked.unionByName(ids.select(F.lit("id").alias("kind"), F.lit(None).cast("bigint").alias("key"), F.xxhash64("idk").alias("v")))
-        filters = self._table("filters", "part int, bits binary")
+        value = F.explode(F.col("ask").cast("array<bigint>")).alias("v")
+        asked = questions.select(
+            F.lit("title").alias("kind"), self._bucket(F.xxhash64("artist")).alias("bucket"), F.col("cid").alias("key"), value
+        )
+        key = F.xxhash64("idk")
+        asked = asked.unionByName(
+            ids.select(F.lit("id").alias("kind"), self._bucket(key).alias("bucket"), F.lit(None).cast("bigint").alias("key"), key.alias("v"))
+        )
         positive = durable(
-            asked.withColumn("part", self._part())
-            .groupBy("part")
-            .cogroup(filters.groupBy("part"))
-            .applyInArrow(_prescreen(self.bits), "kind string, key bigint, v bigint")
+            asked.groupBy("kind", "bucket")
+            .cogroup(self._table("filters", _FILTERS).drop("run").groupBy("kind", "bucket"))
+            .applyInArrow(_prescreen, "kind string, bucket int, key bigint, v bigint")
         )
 
         old_ids = self._old_ids(ids, positive)
@@ -337,25 +342,22 @@ class HistoryStore:
         self._append(firsts.join(exact, "cid", "left_anti").drop("at"), ids.join(old_ids, "idk", "left_anti").select("idk"))
         return cases
 
-    def _touched(self, keys: DataFrame) -> list[int]:
+    def _touched(self, positive: DataFrame) -> list[int]:
         """Bucket numbers of the positives: at most as many as there are buckets."""
-        return [r[0] for r in keys.select("bucket").distinct().collect()]
+        return [r[0] for r in positive.select("bucket").distinct().collect()]
 
     def _old_ids(self, ids: DataFrame, positive: DataFrame) -> DataFrame:
-        hits = positive.filter("kind = 'id'").select("v").distinct()
-        keys = ids.withColumn("v", F.xxhash64("idk")).join(hits, "v").select(
-            "idk", F.pmod("v", F.lit(self.buckets)).cast("int").alias("bucket")
-        )
-        keys = durable(keys)
-        stored = self._table("ids", "idk string, bucket int").filter(F.col("bucket").isin(self._touched(keys)))
+        hits = positive.filter("kind = 'id'")
+        stored = self._table("ids", "idk string, bucket int").filter(F.col("bucket").isin(self._touched(hits)))
+        keys = ids.select("idk", F.xxhash64("idk").alias("v")).join(hits.select("v").distinct(), "v").select("idk")
         # a run has at most run_rows ids, whatever the size of the store
-        return durable(stored.join(F.broadcast(keys.select("idk")), "idk").select("idk").distinct().withColumn("old_id", F.lit(True)))
+        return durable(stored.join(F.broadcast(keys), "idk").select("idk").distinct().withColumn("old_id", F.lit(True)))
 
     def _candidates(self, stored: DataFrame, asked: DataFrame, firsts: DataFrame) -> DataFrame:
         """Pairs (asking title, stored title) that share enough fingerprints, with both titles."""
         names = {"cid": "scid", "words": "swords", "numbers": "snumbers", "cut": "scut", "artist": "sartist"}
         stored = stored.withColumnsRenamed(names)
-        shared = stored.join(asked, "v").filter("cid <> scid")
+        shared = stored.join(asked, "v")
         columns = ["cid", *names.values(), "n"]
         shared = shared.groupBy(*columns).agg(F.count("*").alias("shared")).filter(F.col("shared") >= F.col("n") * F.lit(COVERAGE))
         titles = firsts.select("cid", "artist", "words", "numbers", "cut", "at")
@@ -363,25 +365,25 @@ class HistoryStore:
 
     def _old_titles(self, firsts: DataFrame, positive: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Titles of the run that history holds, and those it holds in the same words."""
-        asked = positive.filter("kind = 'title'").select(F.col("key").alias("cid"), "v")
-        bucket = F.pmod(F.xxhash64("artist"), F.lit(self.buckets)).cast("int")
-        touched = self._touched(firsts.join(asked.select("cid").distinct(), "cid").select(bucket.alias("bucket")))
-        stored = self._table("titles", _STORED).filter(F.col("bucket").isin(touched))
+        hits = positive.filter("kind = 'title'")
+        asked = hits.select(F.col("key").alias("cid"), "v")
+        artists = firsts.join(asked.select("cid").distinct(), "cid").select("artist").distinct()
+        stored = self._table("titles", _STORED).filter(F.col("bucket").isin(self._touched(hits)))
+        # the artists and questions of at most run_rows titles are broadcast; the store is read where it lies
+        stored = stored.join(F.broadcast(artists), "artist", "left_semi")
         stored = stored.select("cid", "artist", "words", "numbers", "cut", "n", F.explode(F.col("fps").cast("array<bigint>")).alias("v"))
-        # the questions of at most run_rows titles are broadcast; the store is read where it lies
-        exact = stored.join(F.broadcast(asked), ["cid", "v"]).select("cid").distinct()
-        exact = durable(exact)
-        found = self._candidates(stored, F.broadcast(asked.join(exact, "cid", "left_anti")), firsts).drop("at")
-        same = found.mapInArrow(_verify, "cid bigint, scid bigint").select("cid")
+        found = durable(self._candidates(stored, F.broadcast(asked), firsts).drop("at"))
+        exact = found.filter("cid = scid").select("cid").distinct()
+        same = found.filter("cid <> scid").mapInArrow(_verify, "cid bigint, scid bigint").select("cid")
         return same.unionByName(exact), exact
 
     def _new_titles(self, firsts: DataFrame, questions: DataFrame) -> DataFrame:
         """Titles of the run that repeat an earlier one of the same run."""
         kept = firsts.withColumn("bucket", F.lit(0)).select("bucket", "cid", "artist", "words", "numbers", "cut")
-        stored = kept.mapInArrow(_with_fingerprints(self.buckets), _STORED)
+        stored = kept.mapInArrow(_with_fingerprints, _STORED)
         stored = stored.select("cid", "artist", "words", "numbers", "cut", "n", F.explode("fps").alias("v"))
         asked = questions.select("cid", F.explode("ask").alias("v"))
-        found = self._candidates(stored, asked, firsts)
+        found = self._candidates(stored, asked, firsts).filter("cid <> scid")
         times = firsts.select(F.col("cid").alias("scid"), F.col("at").alias("sat"))
         found = found.join(times, "scid").filter("sat < at").drop("at", "sat")
         return found.mapInArrow(_verify, "cid bigint, scid bigint").select("cid")

@@ -22,6 +22,9 @@ _BRACKETED = re.compile(rf"[(\[]\W*(?:{EDITION}|(?:feat|ft|featuring|with)\W[^)\
 _TRAILING = re.compile(rf"(?<=\w)\W+(?:{EDITION})\W*$")
 _CREDIT = re.compile(r"[\s(\[,_.-]+(?:feat|ft|featuring)(?:\.|\W)\W*\w.*$")
 _PART = re.compile(r"(?<![a-z])(?:pt|part|no|nr|vol|volume|chapter|op|act)\W*([ivx]+|\d+)\W*$")
+_MAY_REMARK = re.compile("remaster|version|edit|mix|explicit|clean|mono|stereo|bonus|deluxe|special|expanded|anniversary")
+_WORDS = re.compile(r"[^\W_]+")
+_APOSTROPHES = str.maketrans("", "", "'’`")
 _DIGITS = re.compile(r"\d+")
 _ROMAN = {"i": 1, "v": 5, "x": 10}
 _ELLIPSIS = re.compile(r"(?:…|\.\.\.+)\W*$")
@@ -61,20 +64,22 @@ def plain(text: str) -> str:
 
 def read_title(text: str | None) -> Title:
     """Null and blank titles have no letters."""
-    low = plain(text or "").replace("_", " ").strip()
-    cut = bool(_ELLIPSIS.search(low))
-    core = _BRACKETED.sub(" ", low) if "(" in low or "[" in low else low
-    core = _TRAILING.sub("", core)
-    if "f" in core:
+    core = plain(text or "").replace("_", " ").strip()
+    cut = ("." in core or "…" in core) and bool(_ELLIPSIS.search(core))
+    if "(" in core or "[" in core:
+        core = _BRACKETED.sub(" ", core)
+    if _MAY_REMARK.search(core):
+        core = _TRAILING.sub("", core)
+    if "feat" in core or "ft" in core:
         core = _CREDIT.sub("", core)
     for written, meant in SHORT_WORDS:
         if written in core:
             core = _short(written).sub(meant, core)
-    words = "".join(c if c.isalnum() else "" if c in "'’`" else " " for c in core).split()
-    if len(words) > 1:  # "&" is left out as often as it is written
+    words = _WORDS.findall(core.translate(_APOSTROPHES))
+    if "and" in words and len(words) > 1:  # "&" is left out as often as it is written
         words = [w for w in words if w != "and"] or words
-    part = _PART.search(core)
     numbers = _DIGITS.findall(core)
+    part = _PART.search(core)
     if part and not part.group(1).isdigit():
         numbers.append(str(_roman(part.group(1))))
     return Title("".join(words), " ".join(words), ",".join(n.lstrip("0") or "0" for n in numbers), cut)
