@@ -132,18 +132,18 @@ def read_ids(spark: SparkSession, path: str, host: str) -> DataFrame:
 
 
 #: Landed records of the track and feature services (fixed format).
-TRACK_RECORD = T.StructType.fromDDL(
+TRACK_RECORD = (
     "href string, trackTitle string, popularity double, durationMs double, artists array<struct<id:string,name:string>>"
 )
-FEATURE_RECORD = T.StructType.fromDDL(
+FEATURE_RECORD = (
     "href string, danceability double, energy double, key double, loudness double, mode double, speechiness double, "
     "acousticness double, instrumentalness double, liveness double, valence double, tempo double, time_signature double"
 )
 
 
-def read_landed(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+def read_landed(spark: SparkSession, path: str, record: str) -> DataFrame:
     """Records of landed JSON pages, ``{"content": [...]}`` one page per line, with ``ord``, their order."""
-    page = T.StructType([T.StructField("content", T.ArrayType(record))])
+    page = "content array<struct<" + ", ".join(":".join(f.split(" ", 1)) for f in record.split(", ")) + ">>"
     pages = spark.read.schema(page).json(path).withColumn("page", F.monotonically_increasing_id())
     rows = pages.select("page", F.posexplode("content").alias("pos", "r"))
     return rows.select("r.*", F.struct("page", "pos").alias("ord"))
