@@ -39,6 +39,13 @@ def _short(written: str) -> re.Pattern[str]:
     return re.compile(re.escape(written) if len(written) == 1 else rf"(?<!\w){re.escape(written)}(?!\w)")
 
 
+#: A version or part named at the end of a title: two titles that differ in it are different (fixed values).
+_VERSION = re.compile(
+    r" (?:live|(?:club |extended |radio )?remix|instrumental|acoustic|demo|unplugged|karaoke|cover"
+    r"|(?:pt|part|no|nr|vol|volume|chapter|op|act) ?(?:[ivx]+|\d+)|\d+)$"
+)
+
+
 class Title(NamedTuple):
     """``letters``: folded letters and digits; ``words``: the same in words; ``numbers``: part and other
     numbers; ``cut``: does it end in an ellipsis?"""
@@ -147,6 +154,9 @@ def _cut_end(short: Title, long: Title) -> bool:
         return False
     if short.numbers and short.numbers != long.numbers:
         return False
+    version = _VERSION.search(long.words)
+    if version and n <= len(long.words[: version.start()].replace(" ", "")):
+        return False  # the cut is not inside the version: it is the title without one
     if short.cut:
         return True
     ends = 0
