@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.lexicon import ORDINARY, QUOTING, ROLES, RULES, STRONG
+from tonearm.session import spread
 
 #: Score from which a text counts as abusive.
 THRESHOLD = 1.0
@@ -290,7 +291,7 @@ def abuse_scores(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     slim = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "score double", *(f"{c} double" for c in CATEGORIES)])
-    return slim.mapInArrow(_score_batches, schema)
+    return spread(slim).mapInArrow(_score_batches, schema)
 
 
 def abuse_rates(scored: DataFrame, source: str, threshold: float = THRESHOLD) -> DataFrame:

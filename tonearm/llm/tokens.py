@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonearm.session import spread
+
 #: Default vocabulary; every function takes another path.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fragments remembered per worker; more are encoded afresh, with equal results.
@@ -143,11 +145,11 @@ def token_ids(df: DataFrame, ident: str, text: str, vocabulary: str = DEFAULT_VO
     """
     slim = df.select(F.col(ident), F.col(text).cast("string").alias("__text"))
     schema = f"`{ident}` {df.schema[ident].dataType.simpleString()}, ids array<int>"
-    return slim.mapInArrow(_encode_batches(vocabulary, False), schema)
+    return spread(slim).mapInArrow(_encode_batches(vocabulary, False), schema)
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The columns ``keep`` of ``df`` and ``tokens``, the number of ids of ``text``."""
     slim = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
-    return slim.mapInArrow(_encode_batches(vocabulary, True), ", ".join([*fields, "tokens bigint"]))
+    return spread(slim).mapInArrow(_encode_batches(vocabulary, True), ", ".join([*fields, "tokens bigint"]))
