@@ -184,13 +184,13 @@ def _build_filters(kind: str, values: str):
         found: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             bucket, column = batch.column("bucket").to_numpy(), batch.column(values)
-            for b in np.unique(bucket):
+            for b in np.flatnonzero(np.bincount(bucket)):
                 own = column.filter(pa.array(bucket == b))
                 own = own.flatten() if pa.types.is_list(own.type) else own
-                found.setdefault(int(b), []).append(np.unique(own.to_numpy().astype(np.int64)))
+                found.setdefault(int(b), []).append(own.to_numpy())
         rows = []
         for b, parts in found.items():
-            v = np.unique(np.concatenate(parts))
+            v = np.concatenate(parts)
             bits = max(64, len(v) * BITS_PER_ENTRY)
             flags = np.zeros(bits, bool)
             flags[_bloom_places(v, bits).reshape(-1)] = True
@@ -430,7 +430,7 @@ def _runs(batches: DataFrame, batch: str, ident: str, run_rows: int) -> list[Col
 
 def repeated_rows(
     history: DataFrame, batches: DataFrame, history_id: str, ident: str, batch: str, artist: str, title: str,
-    track_id: str, run_rows: int = 25_000, root: str | None = None,
+    track_id: str, run_rows: int = 50_000, root: str | None = None,
 ) -> DataFrame:
     """``(ident)`` of every row of ``batches`` that repeats ``history`` or an earlier row of ``batches``.
 
