@@ -1,5 +1,5 @@
 import numpy as np
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -75,6 +75,7 @@ def test_half_precision_matches_numpy(spark):
     assert np.array_equal(np.array(got), xs.astype(np.float16).astype(float))
 
 
+@settings(deadline=None)
 @given(st.text(alphabet="0123456789,- x", max_size=12), st.integers(1, 9))
 def test_ordinals_stay_in_range(spec, n):
     assert all(1 <= i <= n for i in text.parse_ordinals(spec, n))

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 
@@ -68,3 +70,19 @@ def test_serving_table_checks_and_drops(spark):
 def test_nested_view(spark):
     got = rec.nested(rec.recommend(serving(spark, ROWS), Request(("S",), diversity=1))).orderBy("artist_rank").first()
     assert got.artist_name == "A" and [t.track_id for t in got.tracks] == ["a1", "a2", "a3", "a4"]
+
+
+def test_json_response(spark):
+    tracks = serving(spark, ROWS)
+    rows = rec.recommend_all(tracks, rec.request_frame(spark, Request(("S",), diversity=1)))
+    got = json.loads(rec.as_json(rows).first().recommendations)
+    assert list(got) == ["A", "B"] and [t["track_id"] for t in got["B"]] == ["b1", "b2"]
+
+
+def test_request_plans_do_not_shuffle_tracks_by_id(spark):
+    tracks = serving(spark, ROWS)
+    asks = rec.request_frame(spark, Request(("S",), ("b1",)))
+    from tonearm.operators.seeds import representative_vectors
+
+    plan = representative_vectors(tracks, asks, ["energy"])._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastHashJoin" in plan

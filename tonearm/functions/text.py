@@ -57,10 +57,10 @@ def parse_ordinals(text: str, n: int) -> list[int]:
         chosen: list[int] = []
         for part in text.replace(" ", "").split(","):
             low, dash, high = part.partition("-")
-            chosen += range(int(low), int(high) + 1) if dash else [int(low)]
+            chosen += range(max(1, int(low)), min(n, int(high if dash else low)) + 1)
     except ValueError:
         return every
-    return [i for i in chosen if 1 <= i <= n] or every
+    return chosen or every
 
 
 def best_genre_match(wanted: str, genres: list[str]) -> str | None:

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 
 from tonearm.schema import CURVE
 
+#: Requests answered at once: they are a stated list, and what is derived from them is broadcast.
+MAX_REQUESTS = 100_000
+
+
+def checked(requests: DataFrame) -> DataFrame:
+    """``requests``, after making sure that there are few enough to broadcast."""
+    if requests.limit(MAX_REQUESTS + 1).count() > MAX_REQUESTS:
+        raise ValueError(f"at most {MAX_REQUESTS} requests at once")
+    return requests
+
 
 def sample_size(n: Column) -> Column:
     """How many of an artist's ``n`` tracks represent it: the curve in whole numbers, at most ``n``."""
@@ -35,13 +45,14 @@ def representative_vectors(tracks: DataFrame, requests: DataFrame, features: Seq
 
     An artist is the mean of its sample. Artists named twice count twice; unknown
     artists and tracks, and requests left with neither, are dropped. ``tracks`` has
-    one row per track.
+    one row per track; it is not shuffled by track, as the requests are broadcast.
     """
+    checked(requests)
     asked = requests.select("request_id", F.explode("artists").alias("artist_name")).filter("artist_name is not null")
     wanted = asked.select("artist_name").distinct()
-    samples = artist_samples(tracks.join(wanted, "artist_name", "left_semi"))
+    samples = artist_samples(tracks.join(F.broadcast(wanted), "artist_name", "left_semi"))
     means = samples.groupBy("artist_name").agg(*[F.avg(c).alias(c) for c in features])
     entities = asked.join(means, "artist_name").select("request_id", *features)
     named = requests.select("request_id", F.explode("track_ids").alias("track_id"))
-    entities = entities.unionByName(named.join(tracks, "track_id").select("request_id", *features))
+    entities = entities.unionByName(tracks.join(F.broadcast(named), "track_id").select("request_id", *features))
     return entities.groupBy("request_id").agg(F.count("*").alias("entities"), *[F.avg(c).alias(c) for c in features])

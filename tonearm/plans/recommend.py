@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tonearm.functions.vector import cosine, euclidean, hybrid
 from tonearm.operators.clean import LARGEST, keep_first
 from tonearm.operators.directory import artist_directory, valid_artists
-from tonearm.operators.seeds import representative_vectors
+from tonearm.operators.seeds import checked, representative_vectors
 from tonearm.schema import (
     CANDIDATES_PER_DIVERSITY,
     FEATURE_WEIGHTS,
@@ -26,6 +26,8 @@ from tonearm.schema import (
 
 #: Requests answered in one pass over the tracks; more are answered in further passes.
 BLOCK = 512
+#: What is shown of a track; the id comes first.
+NAMES = ("track_id", "artist_name", "track_name", "genre")
 #: Decimals at which two distances count as equal, so that ties are settled by the track id.
 DECIMALS = 9
 
@@ -72,53 +74,51 @@ def _nearest_of_partition(
     ids = [r["request_id"] for r in asks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object)) for _ in asks]
+        best = [np.zeros(0) for _ in asks]
+        names = [np.zeros((0, len(NAMES)), object) for _ in asks]
         norms = np.sqrt((qg * qg).sum(1))
         for batch in batches:
             if not batch.num_rows:
                 continue
             xa = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in audio]) * weights
             xg = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in genre]) if genre else np.zeros((len(xa), 0))
-            names = batch.column("track_id").to_numpy(zero_copy_only=False)
+            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in NAMES])
             size = np.sqrt((xg * xg).sum(1))
             for k in range(len(asks)):
-                da2 = ((xa - qa[k]) ** 2).sum(1)
                 both = size * norms[k]
                 dg = 1.0 - np.divide(xg @ qg[k], both, out=np.zeros(len(xa)), where=both > 0)
-                d = np.round(np.sqrt(da2 + (dg * factor[k]) ** 2), DECIMALS)
-                old_d, old_n = kept[k]
-                d, n = np.concatenate([old_d, d]), np.concatenate([old_n, names])
+                d = np.round(np.sqrt(((xa - qa[k]) ** 2).sum(1) + (dg * factor[k]) ** 2), DECIMALS)
+                near = np.arange(len(d)) if len(best[k]) < sizes[k] else np.flatnonzero(d <= best[k].max())
+                d, n = np.concatenate([best[k], d[near]]), np.concatenate([names[k], rows[near]])
                 if len(d) > sizes[k]:
-                    bound = np.partition(d, sizes[k] - 1)[sizes[k] - 1]
-                    near = np.flatnonzero(d <= bound)
-                    near = near[np.lexsort((n[near], d[near]))][: sizes[k]]
-                    d, n = d[near], n[near]
-                kept[k] = (d, n)
-        for k, (d, n) in enumerate(kept):
+                    close = np.flatnonzero(d <= np.partition(d, sizes[k] - 1)[sizes[k] - 1])
+                    close = close[np.lexsort((n[close, 0], d[close]))][: sizes[k]]
+                    d, n = d[close], n[close]
+                best[k], names[k] = d, n
+        for k, (d, n) in enumerate(zip(best, names)):
             if len(d):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(d), ids[k], np.int64)), pa.array(n, pa.string()), pa.array(d)],
-                    names=["request_id", "track_id", "d"],
-                )
+                columns = [pa.array(n[:, i], pa.string()) for i in range(len(NAMES))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), ids[k], np.int64)), *columns, pa.array(d)], names=["request_id", *NAMES, "d"])
 
     return run
 
 
 def nearest_tracks(tracks: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``(request_id, track_id, d, place)``: the 200 x diversity nearest tracks of each request.
+    """``(request_id, track_id, artist_name, track_name, genre, d, place)``: each request's 200 x diversity nearest tracks.
 
     ``vectors`` has request_id, diversity, genre_weight and the features. It is
     read in blocks of ``BLOCK`` requests; each block is one pass over the tracks.
     """
     audio, genre = audio_columns(tracks), genre_columns(tracks)
     asks = vectors.orderBy("request_id").collect()  # the stated requests, not data
-    slim = tracks.select("track_id", *audio, *genre)
+    slim = tracks.select(*NAMES, *audio, *genre)
+    schema = "request_id bigint, " + ", ".join(f"{c} string" for c in NAMES) + ", d double"
     found = None
     for low in range(0, len(asks), BLOCK):
-        part = slim.mapInArrow(_nearest_of_partition(asks[low : low + BLOCK], audio, genre), "request_id bigint, track_id string, d double")
+        part = slim.mapInArrow(_nearest_of_partition(asks[low : low + BLOCK], audio, genre), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = tracks.sparkSession.createDataFrame([], "request_id bigint, track_id string, d double")
+        found = tracks.sparkSession.createDataFrame([], schema)
     place = F.row_number().over(W.partitionBy("request_id").orderBy("d", "track_id"))
     sizes = tracks.sparkSession.createDataFrame(
         [(r["request_id"], CANDIDATES_PER_DIVERSITY * int(r["diversity"])) for r in asks], "request_id bigint, wanted int"
@@ -144,7 +144,9 @@ def recommend_all(tracks: DataFrame, requests: DataFrame, seed: int = 0) -> Data
     needs two candidates.
     """
     audio, genre = audio_columns(tracks), genre_columns(tracks)
-    seeds = valid_artists(requests, tracks.select("artist_name").distinct())
+    checked(requests)
+    wanted = requests.select(F.explode("artists").alias("artist_name")).distinct()
+    seeds = valid_artists(requests, tracks.select("artist_name").join(F.broadcast(wanted), "artist_name", "left_semi").distinct())
     known = requests.join(seeds.select("request_id").distinct(), "request_id", "left_semi")
     settings = known.select("request_id", "diversity", "max_artists", "genre_weight")
     vectors = representative_vectors(tracks, known, [*audio, *genre]).join(settings, "request_id")
@@ -152,8 +154,7 @@ def recommend_all(tracks: DataFrame, requests: DataFrame, seed: int = 0) -> Data
     near = near.join(settings.select("request_id", "diversity", "max_artists"), "request_id")
     of = F.count("*").over(W.partitionBy("request_id"))
     place = F.when(F.col("diversity") > 1, permuted_place(seed)).otherwise(F.col("place"))
-    pool = near.select("request_id", "track_id", "max_artists", (of + 1 - place).alias("score"))
-    pool = pool.join(tracks.select("track_id", "artist_name", "track_name", "genre"), "track_id")
+    pool = near.select("request_id", *NAMES, "max_artists", (of + 1 - place).alias("score"))
     pool = pool.join(seeds.select("request_id", "artist_name").distinct(), ["request_id", "artist_name"], "left_anti")
     artists = pool.groupBy("request_id", "artist_name", "max_artists").agg(
         F.sum("score").alias("total"), F.count("track_id").alias("tracks")
@@ -202,3 +203,11 @@ def nested(recommendations: DataFrame) -> DataFrame:
     keys = [c for c in ("request_id", "artist_rank", "artist_name") if c in recommendations.columns]
     track = F.struct("track_rank", "track_id", "track_name", "genre")
     return recommendations.groupBy(*keys).agg(F.array_sort(F.collect_list(track)).alias("tracks"))
+
+
+def as_json(recommendations: DataFrame) -> DataFrame:
+    """``(request_id, recommendations)``: the response as JSON, artist -> list of tracks, best first."""
+    tracks = nested(recommendations)
+    entry = F.struct("artist_rank", F.struct(F.col("artist_name").alias("key"), F.col("tracks").alias("value")).alias("e"))
+    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"])
+    return tracks.groupBy("request_id").agg(F.to_json(F.map_from_entries(ordered)).alias("recommendations"))
