@@ -17,15 +17,14 @@ PAGE = 256
 
 
 def fold_char(ch: str) -> str:
-    """What ``ch`` counts as: its lower case, or ``""`` if it is skipped.
+    """What ``ch`` counts as: its folded case, or ``""`` if it is skipped.
 
     Letters, decimal digits and combining marks (accents) count.
     """
     kind = unicodedata.category(ch)
     if kind[0] not in "LM" and kind != "Nd":
         return ""
-    low = ch.lower()
-    return low if len(low) == 1 else ch
+    return next((f for f in (ch.casefold(), ch.lower()) if len(f) == 1), ch)
 
 
 class FoldTable:

@@ -24,7 +24,24 @@ WHERE NOT regexp_full_match(artist_name, '{_WHITE}')
 QUALIFY rank <= 10
 """
 
+_VALUES = ("danceability", "energy", "valence", "acousticness")
+_NEAR = f"""
+usable AS (
+  SELECT vec_id, {", ".join(f"{v}::DOUBLE AS {v}" for v in _VALUES)}
+  FROM (SELECT * FROM data_encoded QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY vec_id) = 1)
+  WHERE {" AND ".join(f"NOT isnan({v}) AND {v} BETWEEN 0 AND 1" for v in _VALUES)}
+), near AS (
+  SELECT x.vec_id AS i, y.vec_id AS j, {" + ".join(f"(x.{v} - y.{v}) * (x.{v} - y.{v})" for v in _VALUES)} AS d2
+  FROM usable x JOIN usable y ON x.vec_id <> y.vec_id
+  QUALIFY row_number() OVER (PARTITION BY x.vec_id ORDER BY d2, y.vec_id) <= 5
+), pairs AS (
+  SELECT least(i, j) AS vec_id_a, greatest(i, j) AS vec_id_b, round(sqrt(min(d2)), 9) AS distance FROM near GROUP BY 1, 2
+)
+"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": f"WITH {_NEAR} SELECT vec_id_a, vec_id_b FROM pairs",
+    "p1_pairs": f"WITH {_NEAR} SELECT * FROM pairs",
     "p3_found": f"WITH {_KEYS} SELECT first AS row_id_a, row_id AS row_id_b FROM sets WHERE row_id <> first",
     "p3_counts": f"""WITH {_KEYS} SELECT row_id, copies FROM sets WHERE row_id = first
       UNION ALL SELECT row_id, 1 FROM keyed WHERE a = '' AND b = ''""",

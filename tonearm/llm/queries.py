@@ -22,7 +22,7 @@ def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
     first = nearest.one_row_per_key(encoded, "track_id", "vec_id", VECTOR)
     usable = first.filter(" and ".join(f"{c} >= 0 and {c} <= 1" for c in VECTOR))
     pairs = nearest.nearest_pairs(usable, "vec_id", VECTOR, k=5)
-    return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), F.col("d").alias("distance"))
+    return pairs.select(F.col("a").alias("vec_id_a"), F.col("b").alias("vec_id_b"), F.round("d", 9).alias("distance"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
