@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import text, vector
 from tonearm.functions.missing import number_or_null, valid_number
+from tonearm.plans import queries
 
 
 def one(spark, rows, kind, *columns):
@@ -75,6 +76,22 @@ def test_half_precision_matches_numpy(spark):
     assert np.array_equal(np.array(got), xs.astype(np.float16).astype(float))
 
 
+def test_half_precision_of_every_finite_value(spark):
+    edges = [2.0**-14, 2.0**-24, 2.0**-25, 1.5 * 2.0**-24, 1e-9, 5e-324, 60000.5, 65504.0, 65519.99, 65520.0, 1e300]
+    xs = np.concatenate([edges, np.random.default_rng(6).uniform(0, 0.001, 300), np.random.default_rng(7).uniform(60000, 70000, 300), [0.0]])
+    xs = np.concatenate([xs, -xs])
+    got = [r[0] for r in one(spark, [float(x) for x in xs], "double", vector.half_precision(F.col("x")))]
+    with np.errstate(over="ignore"):
+        assert np.array_equal(np.array(got), xs.astype(np.float16).astype(float))
+
+
+def test_quantized_features_keep_zeros_small_and_large_values(spark, tmp_path):
+    rows = [(1, 0.0, 0.0), (2, 0.0004, 65504.0), (3, -1e-9, 70000.0), (4, None, float("nan"))]
+    spark.createDataFrame(rows, "row_id bigint, danceability double, tempo double").write.parquet(str(tmp_path / "data_tracks.parquet"))
+    got = {r.row_id: (r.danceability, r.tempo) for r in queries.quantized_features(spark, str(tmp_path)).collect()}
+    assert got == {1: (0.0, 0.0), 2: (float(np.float16(0.0004)), 65504.0), 3: (0.0, float("inf")), 4: (None, None)}
+
+
 @settings(deadline=None)
 @given(st.text(alphabet="0123456789,- x", max_size=12), st.integers(1, 9))
 def test_ordinals_stay_in_range(spec, n):

@@ -32,7 +32,11 @@ def hybrid(audio: Column, genre: Column, genre_weight: Column | float) -> Column
 
 
 def half_precision(x: Column) -> Column:
-    """The nearest half-precision value of a normal number, as a double; zero stays zero."""
+    """The nearest half-precision value of a number, as a double; zero stays zero, and from 65520 it is infinity.
+
+    Below 2^-14 values are subnormal, with the fixed step 2^-24.
+    """
     size = F.abs(x)
-    step = F.pow(F.lit(2.0), F.floor(F.log2(size)) - 10)
-    return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(x) * F.bround(size / step, 0) * step)
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
+    rounded = F.when(size >= 65520, F.lit(float("inf"))).otherwise(F.bround(size / step, 0) * step)
+    return F.when(size == 0, F.lit(0.0)).otherwise(F.signum(x) * rounded + F.lit(0.0))

@@ -138,8 +138,7 @@ def hybrid_topn(spark: SparkSession, folder: str) -> DataFrame:
 def quantized_features(spark: SparkSession, folder: str) -> DataFrame:
     """Half-precision values of the raw danceability and tempo."""
     rows = clean.finite(_tracks(spark, folder), ["danceability", "tempo"])
-    kept = {c: F.when((F.abs(F.col(c)) >= 0.001) & (F.abs(F.col(c)) <= 60000), vector.half_precision(F.col(c))) for c in ("danceability", "tempo")}
-    return rows.select("row_id", *[v.alias(c) for c, v in kept.items()])
+    return rows.select("row_id", *[vector.half_precision(F.col(c)).alias(c) for c in ("danceability", "tempo")])
 
 
 # ---- directory ------------------------------------------------------------------------------------------------------
