@@ -1,7 +1,9 @@
+import random
+
 import pytest
 
 from tonearm.llm import history
-from tonearm.llm.titles import read_title, same_title, slips
+from tonearm.llm.titles import most_slips, read_title, same_title, slips
 
 HIST = "row_id bigint, artist_name string, track_name string, track_id string"
 NEW = "added_id bigint, batch_no int, artist_name string, track_name string, track_id string, cid int, fps string"
@@ -81,6 +83,44 @@ def test_titles(a, b, same):
     assert same_title(read_title(a), read_title(b)) is same and same_title(read_title(b), read_title(a)) is same
 
 
+def _spoiled(rng, letters):
+    """A title with as many slips as are allowed, or a cut end."""
+    if len(letters) >= 12 and rng.random() < 0.3:
+        return letters[: rng.randint(-(-len(letters) // 2), len(letters) - 1)]
+    out = list(letters)
+    for _ in range(most_slips(len(letters))):
+        i = rng.randrange(len(out))
+        how = rng.choice("xxsid")
+        if how == "x" or how == "d" and len(out) < 2:
+            out[i] = rng.choice("abcdefgh")
+        elif how == "s" and i:
+            out[i - 1], out[i] = out[i], out[i - 1]
+        elif how == "i":
+            out.insert(i, rng.choice("abcdefgh"))
+        elif how == "d":
+            del out[i]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ab"])
+def test_search_finds_whatever_the_title_rule_accepts(alphabet):
+    rng = random.Random(4)
+    stored = ["".join(rng.choice(alphabet) for _ in range(n)) for n in range(1, 90) for _ in range(60)]
+    asking = [_spoiled(rng, x) for x in stored]
+    pairs = [(a, b) for x, y in zip(stored, asking) for a, b in ((x, y), (y, x))]
+    pairs = [(a, b) for a, b in pairs if a and b and same_title(read_title(f"{a}…"), read_title(b)) | same_title(read_title(a), read_title(f"{b}…"))]
+    assert {len(a) for a, _ in pairs} >= set(range(1, 90))
+    kept, asked = (history.fingerprints([p[i] for p in pairs], ["Ana"] * len(pairs), asking=bool(i)).to_pylist() for i in (0, 1))
+    lost = [p for p, k, a in zip(pairs, kept, asked) if len({*k} & {*a}) < history.least_shared(len(p[0]), len(k))]
+    assert lost == []
+
+
+def test_repetitions_that_share_few_letters_in_a_row(spark):
+    old = [(1, "Ana", "Bravo", "a1"), (2, "Ana", "Kingdom Harbor…", "a2"), (3, "Ana", "Velvet Evenings", "a3"), (4, "Ana", "Q", "a4")]
+    new = [(10, 0, "Ana", "Brxvo", "n1"), (11, 0, "Ana", "Kingdom Harbor Lights Again", "n2"), (12, 0, "Ana", "Velxet Evexings", "n3"), (13, 0, "Ana", "Z", "n4")]
+    assert repeated(spark, old, new) == [10, 11, 12, 13]
+
+
 def test_slips():
     assert slips("abc", "acb", 3) == 1 and slips("abc", "abc", 0) == 0 and slips("kitten", "sitting", 3) == 3
     assert slips("abc", "xyz", 1) == 2 and slips("", "ab", 2) == 2 and slips("aab", "ab", 2) == 1

@@ -1,13 +1,14 @@
 """New batches checked against everything already accepted, without reprocessing it.
 
-Method. Every distinct title of an artist is fingerprinted by winnowing: hashes
-of its letter n-grams, salted by the artist, of which each window keeps the
-smallest. A persistent store holds one record per distinct title with its
+Method. Every distinct title of an artist is fingerprinted: hashes of its letter
+n-grams, salted by the artist, their length by the title's, so that no repetition
+the title rule accepts is missed; of long titles each window of grams keeps the
+smallest (winnowing). A persistent store holds one record per distinct title with its
 fingerprints, bucketed by artist, the track ids, bucketed by their hash, and
 Bloom filters partitioned by fingerprint. A run of new rows is prescreened
 against the filters; only positives are looked up, and only in the buckets they
-touch; candidates must share enough of their fingerprints and then agree as
-titles. The run's own titles, ids and filter bits are then appended. Earlier
+touch; candidates must share as many fingerprints as every repetition does and then
+agree as titles. The run's own titles, ids and filter bits are then appended. Earlier
 history is never fingerprinted, shuffled or rewritten again.
 
 A run has at most ``run_rows`` rows (larger batches are cut, small ones taken
@@ -26,21 +27,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.llm.folding import mix
-from tonearm.llm.titles import Title, read_title, same_title
+from tonearm.llm.titles import Title, most_slips, read_title, same_title
 from tonearm.session import durable, shared_dir, shuffle_partitions
 
-#: (n-gram length, window) of titles with at least LONG letters, and of shorter ones.
-LONG, LONG_GRAM, SHORT_GRAM = 14, (6, 4), (3, 2)
-#: Titles up to this length are also asked for as if they were short.
-ASK_SHORT = 20
-#: Least share of a stored title's fingerprints that a repetition must have.
-COVERAGE = 0.15
+#: (least letters, n-gram length, window) of stored titles, by length. A slip spoils at most n + 1 grams, so a title
+#: with as many slips as ``same_title`` allows, or whose other half is cut, still shares a gram in each of these bands.
+BANDS = ((1, 1, 1), (5, 2, 1), (11, 3, 1), (14, 4, 1), (27, 6, 1), (42, 6, 4))
+#: Gram of titles of one letter, which are a slip away from any other.
+ONE_LETTER = 9
 BITS_PER_ENTRY, HASHES, ROWS_PER_BUCKET = 12, 4, 60_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _READ = "ident bigint, ord int, idk string, cid bigint, artist string, words string, numbers string, cut boolean"
 _FILTERS = "kind string, bucket int, size bigint, bits binary"
-_STORED = "bucket int, cid bigint, artist string, words string, numbers string, cut boolean, n int, fps array<int>"
+_STORED = "bucket int, cid bigint, artist string, words string, numbers string, cut boolean, least int, fps array<int>"
 
 
 # ---- fingerprints -------------------------------------------------------------------------------------------------
@@ -110,17 +110,29 @@ def _hash64(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _asked_lengths(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and most letters of stored titles that a title of n letters may repeat: a few slips, or a cut end."""
+    cut = n >= 6
+    return np.where(cut, np.minimum(n - 3, -(-n // 2)), n - 1), np.where(cut, np.maximum(n + 3, 2 * n), n + 1)
+
+
 def fingerprints(letters: list[str], artists: list[str], asking: bool) -> pa.Array:
     """Stored fingerprints of titles, or (``asking``) every n-gram a stored one could be."""
     grams = _Grams(letters, _salts(artists))
     size, rows = grams.sizes, np.arange(len(letters))
-    tiny = [grams.of(k, rows[size == k]) for k in (1, 2)]
-    if asking:
-        return _by_row(
-            [*tiny, grams.of(LONG_GRAM[0], rows), grams.of(SHORT_GRAM[0], rows[size <= ASK_SHORT])], len(letters)
-        )
-    long, short = rows[size >= LONG], rows[(size < LONG) & (size > 2)]
-    return _by_row([*tiny, grams.winnow(*LONG_GRAM, long), grams.winnow(*SHORT_GRAM, short)], len(letters))
+    low, high = _asked_lengths(size) if asking else (size, size)
+    one = rows[size == 1]
+    parts = [(mix(grams.salts[one] ^ np.uint64(ONE_LETTER)).astype(np.uint32), one)]
+    for (least, k, w), (over, _, _) in zip(BANDS, (*BANDS[1:], (1 << 30, 0, 0))):
+        within = rows[(low < over) & (high >= least)]
+        parts.append(grams.of(k, within) if asking else grams.winnow(k, w, within))
+    return _by_row(parts, len(letters))
+
+
+def least_shared(letters: int, stored: int) -> int:
+    """How many of a stored title's ``stored`` fingerprints every repetition of it has."""
+    k = next(k for least, k, _ in reversed(BANDS) if letters >= least)
+    return max(1, stored - max(most_slips(letters) * (k + 1), letters // 2))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +165,9 @@ def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         letters = [w.replace(" ", "") for w in batch.column("words").to_pylist()]
         fps = fingerprints(letters, artists, asking=False)
         kept = [batch.column(c) for c in ("bucket", "cid", "artist", "words", "numbers", "cut")]
-        n = pa.array(np.diff(fps.offsets.to_numpy()).astype(np.int32))
-        names = ["bucket", "cid", "artist", "words", "numbers", "cut", "n", "fps"]
-        yield pa.RecordBatch.from_arrays([*kept, n, fps], names=names)
+        least = [least_shared(len(x), n) for x, n in zip(letters, np.diff(fps.offsets.to_numpy()).tolist())]
+        names = ["bucket", "cid", "artist", "words", "numbers", "cut", "least", "fps"]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(least, pa.int32()), fps], names=names)
 
 
 def _with_questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,8 +370,8 @@ class HistoryStore:
         names = {"cid": "scid", "words": "swords", "numbers": "snumbers", "cut": "scut", "artist": "sartist"}
         stored = stored.withColumnsRenamed(names)
         shared = stored.join(asked, "v")
-        columns = ["cid", *names.values(), "n"]
-        shared = shared.groupBy(*columns).agg(F.count("*").alias("shared")).filter(F.col("shared") >= F.col("n") * F.lit(COVERAGE))
+        columns = ["cid", *names.values(), "least"]
+        shared = shared.groupBy(*columns).agg(F.count("*").alias("shared")).filter("shared >= least")
         titles = firsts.select("cid", "artist", "words", "numbers", "cut", "at")
         return shared.join(titles, "cid").filter("artist = sartist")
 
@@ -371,7 +383,7 @@ class HistoryStore:
         stored = self._table("titles", _STORED).filter(F.col("bucket").isin(self._touched(hits)))
         # the artists and questions of at most run_rows titles are broadcast; the store is read where it lies
         stored = stored.join(F.broadcast(artists), "artist", "left_semi")
-        stored = stored.select("cid", "artist", "words", "numbers", "cut", "n", F.explode(F.col("fps").cast("array<bigint>")).alias("v"))
+        stored = stored.select("cid", "artist", "words", "numbers", "cut", "least", F.explode(F.col("fps").cast("array<bigint>")).alias("v"))
         found = durable(self._candidates(stored, F.broadcast(asked), firsts).drop("at"))
         exact = found.filter("cid = scid").select("cid").distinct()
         same = found.filter("cid <> scid").mapInArrow(_verify, "cid bigint, scid bigint").select("cid")
@@ -381,7 +393,7 @@ class HistoryStore:
         """Titles of the run that repeat an earlier one of the same run."""
         kept = firsts.withColumn("bucket", F.lit(0)).select("bucket", "cid", "artist", "words", "numbers", "cut")
         stored = kept.mapInArrow(_with_fingerprints, _STORED)
-        stored = stored.select("cid", "artist", "words", "numbers", "cut", "n", F.explode("fps").alias("v"))
+        stored = stored.select("cid", "artist", "words", "numbers", "cut", "least", F.explode("fps").alias("v"))
         asked = questions.select("cid", F.explode("ask").alias("v"))
         found = self._candidates(stored, asked, firsts).filter("cid <> scid")
         times = firsts.select(F.col("cid").alias("scid"), F.col("at").alias("sat"))
