@@ -42,6 +42,11 @@ def test_sharp_but_civil_language_is_not(text):
     assert worst(text) < abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["Moron!", "Cretin!", "Shit!", "Fucker!", "Order! (Twat!) The member will withdraw."])
+def test_short_passages_are_read(text):
+    assert worst(text) >= abuse.THRESHOLD
+
+
 def test_automaton_against_plain_distance():
     words = ["bastard", "moron", "cretin", "shit", "kneecaps"]
 
