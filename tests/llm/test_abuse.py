@@ -47,6 +47,21 @@ def test_short_passages_are_read(text):
     assert worst(text) >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["This is shti, all of it.", "He is a cnut.", "Morno, sit down.", "Critin that he is!", "Du Asrch!", "So eine Fozte!"])
+def test_short_and_capitalised_misspellings_are_read(text):
+    assert worst(text) >= abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("text", ["Count the cent.", "Mrs Walker and Mr Morton suit that cult.", "You wore a warm shirt.", "Salome seit gestern."])
+def test_ordinary_short_words_are_not(text):
+    assert worst(text) < abuse.THRESHOLD
+
+
+def test_masked_words_are_read_together():
+    assert [JUDGE.reader.read(w)[0] for w in ("r****n", "b***h")] == ["ratten", "bench"]
+    assert worst("A r****n b***h sat there.") >= abuse.THRESHOLD
+
+
 def test_automaton_against_plain_distance():
     words = ["bastard", "moron", "cretin", "shit", "kneecaps"]
 

@@ -186,33 +186,35 @@ class Reader:
                 return [double]
             form = short
         letters = sum(c.isalpha() for c in form)
-        if letters < 5 or letters != len(form) or token[:1].isupper() and not token.isupper() and letters < 7:
+        if letters < 4 or letters != len(form) or form in self.ordinary:
             return [form]
-        near = self.trie.read(form, 1 if letters < 9 else 2)[:1]
-        if not near or len(near[0]) < 4 or near[0][0] != form[0] and len(near[0]) < 6:
-            return [form]
-        return near
+        near = self.trie.read(form, 1)
+        if not near and letters >= 9:
+            near = self.trie.read(form, 2)
+        unsure = letters < 5 or token[:1].isupper() and not token.isupper() and letters < 7  # a name or a short word
+        return [w for w in near if len(w) > 3 and (w[0] == form[0] or len(w) > 5 and not unsure)] or [form]
 
 
 # ---- rules ---------------------------------------------------------------------------------------------------------
 
 
-def _compile(rule: str) -> str:
-    """A rule as a pattern over words, each followed by one blank."""
+def _compile(rule: str, several: bool = False) -> str:
+    """A rule as a pattern over words, each followed by one blank; ``several``: over readings, as ``|word|word|``."""
     out = []
+    before, after = (r"\S*\|", r"\|\S* ") if several else ("", " ")
     for part in re.findall(r"\([^)]*\)|\S+", rule):
         optional = part.endswith("?") and part != "an?"
         part = part[:-1] if optional else part
         if part == "_":
             piece = rf"(?:\S+ ){{1,{GAP}}}?"
         elif part == "an?":
-            piece = "an? "
+            piece = f"{before}an?{after}"
         elif part.startswith("{"):
-            piece = "(?:" + "|".join(sorted(ROLES[part[1:-1]].split())) + ") "
+            piece = f"{before}(?:" + "|".join(sorted(ROLES[part[1:-1]].split())) + f"){after}"
         elif part.startswith("("):
-            piece = "(?:" + part[1:-1] + ") "
+            piece = f"{before}(?:" + part[1:-1] + f"){after}"
         else:
-            piece = re.escape(part) + " "
+            piece = before + re.escape(part) + after
         out.append(f"(?:{piece})?" if optional else piece)
     return "".join(out)
 
@@ -222,37 +224,37 @@ class Judge:
 
     def __init__(self) -> None:
         self.reader = Reader()
-        by_weight: dict[tuple[str, float], list[str]] = {}
-        for category, weight, rule in RULES:
-            by_weight.setdefault((category, weight), []).append(_compile(rule))
-        self.rules = [(c, w, re.compile(r"(?<!\S)(?:" + "|".join(r) + ")")) for (c, w), r in by_weight.items()]
+        self.rules, self.rules_of_several = self._patterns(False), self._patterns(True)
         self.strong = set(STRONG.split())
         self.quoting = set(QUOTING.split())
         self.lexicon = self.reader.words
 
-    def passage(self, sentence: str) -> dict[str, float]:
-        read = self.reader.read
-        readings = [read(t) for t in tokens(sentence)]
-        scores = self._judge([r[0] for r in readings])
-        for i, several in enumerate(readings):
-            for other in several[1:]:
-                more = self._judge([other if k == i else r[0] for k, r in enumerate(readings)])
-                scores = {c: max(scores.get(c, 0.0), more.get(c, 0.0)) for c in scores | more}
-        return scores
+    @staticmethod
+    def _patterns(several: bool) -> list[tuple[str, float, re.Pattern[str]]]:
+        by_weight: dict[tuple[str, float], list[str]] = {}
+        for category, weight, rule in RULES:
+            by_weight.setdefault((category, weight), []).append(_compile(rule, several))
+        return [(c, w, re.compile(r"(?<!\S)(?:" + "|".join(r) + ")")) for (c, w), r in by_weight.items()]
 
-    def _judge(self, words: list[str]) -> dict[str, float]:
-        lexicon = self.lexicon
-        if sum(w in lexicon for w in words) < 2 and not any(w in self.strong for w in words):
+    def passage(self, sentence: str) -> dict[str, float]:
+        """Scores of the worst reading; a rule takes of each word whichever reading it asks for."""
+        readings = [self.reader.read(t) for t in tokens(sentence)]
+        lexicon, strong = self.lexicon, self.strong
+        known = sum(any(w in lexicon for w in r) for r in readings)
+        at = [i for i, r in enumerate(readings) if any(w in strong for w in r)]
+        if known < 2 and not at:
             return {}
-        joined = " ".join(words) + " "
+        if any(len(r) > 1 for r in readings):
+            joined, rules = "".join("|" + "|".join(r) + "| " for r in readings), self.rules_of_several
+        else:
+            joined, rules = " ".join(r[0] for r in readings) + " ", self.rules
         scores: dict[str, float] = {}
-        for category, weight, pattern in self.rules:
+        for category, weight, pattern in rules:
             if pattern.search(joined):
                 scores[category] = max(scores.get(category, 0.0), weight)
-        at = [i for i, w in enumerate(words) if w in self.strong]
         if at:
-            near = {w for i in at for w in words[max(0, i - 8) : i + 9]}
-            scores["insult"] = max(scores.get("insult", 0.0), 0.5 if near & self.quoting and not scores else 1.0)
+            quoted = any(self.quoting.issuperset(r) for i in at for r in readings[max(0, i - 8) : i + 9])
+            scores["insult"] = max(scores.get("insult", 0.0), 0.5 if quoted and not scores else 1.0)
         return scores
 
     def score(self, text: str | None) -> list[float]:

@@ -243,4 +243,10 @@ ORDINARY = (
     "rugs legs eggs dogs fogs logs jobs job rob rod road roads load toad toads broad board boards hoard heard weird word words work "
     "worm worms worn torn corn horn born form firm farm harm arm arms army art arts arse are area areas course coarse curse nurse purse "
     "horse hoarse worse prose close clothes loathes"
+    " wait five stoke port heath ward dear fund silt mast much sake mend hate move came sees made cent deal went wore shoe deaf shop "
+    "lamp wird seit wear wall sait seat meine noes muss soir vite taxe morea spare count counts bury moran sort prison quota sits slip "
+    "slips diese bluse funk suit spit skit slit shin shim shih shiv smit snit cult curt cant twit teat tips ties tins tics tots tilts "
+    "tints tuts titus tito toits tirs morton myron morin maron miron moroni cretan cretans walker wander wanders ordre salome salad "
+    "fetze foul fowl slum slog slag slot slat smut lair lira pins pits pies pics rags rays raps cops cowl dune dunk fifth birch butch "
+    "shore chore pork pore halt calf warm leach dirt vine vise jump lumps cont cunn shif"
 )
