@@ -1,6 +1,6 @@
 import random
-import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,15 +11,22 @@ KINDS = "row_id bigint, artist_name string, track_name string, ROW_IDX int"
 
 
 def canonical(text):
-    text = unicodedata.normalize("NFC", text or "")
-    return "".join(folding.fold_char(c) for c in text)
+    """The letters and digits, folded, with the accents of each in a fixed order."""
+    out = []
+    for c in text or "":
+        letters, accents = folding.fold_char(c)
+        out += [[x, ""] for x in letters]
+        out = out or [["", ""]] if accents else out
+        if accents:
+            out[-1][1] += accents
+    return tuple((x, "".join(sorted(a))) for x, a in out)
 
 
 def brute(rows):
     sets = {}
     for i, a, t, *_ in sorted(rows, key=lambda r: r[0]):
         key = tuple(sorted((canonical(a), canonical(t))))
-        if any(key):
+        if all(any(x for x, _ in k) for k in key):
             sets.setdefault(key, []).append(i)
     return sorted((s[0], i) for s in sets.values() for i in s[1:])
 
@@ -39,6 +46,7 @@ def test_against_brute_force_with_a_hot_set(spark, shuffles):
         a, t = rng.choice([(a, t), (t, a), (a.upper(), t), (a + " ", f"({t})"), (a.replace("o", " o"), t)])
         rows.append((i, a, t, 0))
     rows += [(2000, None, None, 0), (2001, "...", " ", 0), (2002, None, "x" * 200_000, 0), (2003, "X" * 200_000, "", 0)]
+    rows += [(2004, "y", "x" * 200_000, 0), (2005, "X" * 200_000, "y!", 0)]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(shuffles))  # the hot set spans several partitions
     try:
@@ -67,11 +75,27 @@ def test_counts(spark):
 
 
 def test_colliding_hashes_are_told_apart():
-    walk = copies._Walk()
+    walk = copies.Walk()
     for i, fields in enumerate([("a", "b"), ("c", "d"), ("B", "A"), ("D", "c")]):
         walk.take((1, 1), i, fields, False)
-    kinds = [(r[2], r[3]) for r in walk.out if r[4] != copies.FIRST_HEAD]
-    assert kinds == [(0, 2), (1, 3)]
+    assert [(r[2], r[3]) for r in walk.out] == [(0, 2), (1, 3)]
+
+
+def test_one_empty_field_means_no_copies(spark):
+    rows = [(1, "Hot", None, 0), (2, "Hot", None, 0), (3, "hot", " ", 0), (4, None, "Hot", 0), (5, "...", "Hot", 0)]
+    assert found(spark, rows) == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=8), st.text("aA éÉe\u0301\u0323각ᄀ", max_size=6)), max_size=8))
+def test_hashes_of_bytes_agree_as_the_texts_do(texts):
+    column = pa.array(["skip", *texts], pa.string()).slice(1)  # a slice: offsets do not begin at 0
+    one, two, counts = folding.rolling_hashes(column, copies._fold_table())
+    forms = [canonical(t) for t in texts]
+    assert counts.tolist() == [sum(1 for x, _ in f if x) for f in forms]
+    for i, x in enumerate(forms):
+        for j, y in enumerate(forms):
+            assert (x == y) == (one[i] == one[j] and two[i] == two[j])
 
 
 @settings(max_examples=200, deadline=None)

@@ -1,18 +1,20 @@
 """Records that differ only in formatting: white space, case, punctuation, field order.
 
-Method. A vectorised pass streams both fields through a skip-and-fold table into
-two rolling polynomial hashes and adds the mixed hashes of the fields, so their
-order does not matter. Rows are then range-partitioned by (hash, row id): a set
-of copies holding a third of the table spreads over as many tasks as its size
-asks for, and a plain set stays in one place. Each task walks its sorted run of
-equal hashes once and verifies every row against the run's first by two-pointer
-skipping comparison. A run cut by a partition boundary is joined again through
-its heads, of which there are at most two per partition.
+Method. A vectorised pass streams the bytes of both fields through a skip-and-fold
+table into two rolling polynomial hashes and adds the mixed hashes of the fields,
+so their order does not matter. The same pass names each row's partition: the
+hash's own, or, for a hash that a small sample shows to hold more than a fair
+share of the rows, one of as many pieces as its share asks for. So rows are hashed
+once and a set of copies holding a third of the table spreads over many tasks.
+Each task walks its sorted runs of equal hashes once and verifies every row against
+the run's first by two-pointer skipping comparison. The pieces of a split set are
+joined through their heads, of which there is one per piece. The sample only
+decides where rows go, never what is found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from tonearm.llm.folding import FoldTable, mix, rolling_hashes, same_skipping
 from tonearm.session import durable, shuffle_partitions
 
-#: Kinds of a walked row: a copy inside a partition; a row or head of its first run; a head of its last run.
-INTERIOR, FIRST_RUN, FIRST_HEAD, LAST_HEAD = 0, 1, 2, 3
-_HASHED = "row_id bigint, a string, b string, h1 bigint, h2 bigint"
+#: Rows looked at to find the hashes that need splitting, and rows a split hash shows in that sample at least.
+SAMPLE_ROWS, LEAST_SEEN = 50_000, 20
+#: Kinds of a walked row: a copy whose set is whole in its partition; a head and a copy of a piece of a split set.
+WHOLE, HEAD, PIECE = 0, 1, 2
+_HASHED = "part int, split boolean, row_id bigint, a string, b string, h1 bigint, h2 bigint"
 _MEMBERS = "h1 bigint, h2 bigint, head bigint, row_id bigint, kind int, a string, b string"
 _table: FoldTable | None = None
 
@@ -37,20 +41,45 @@ def _fold_table() -> FoldTable:
     return _table
 
 
-def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds both hashes; rows without a letter or digit have no copies and end here."""
+def hash_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Adds both hashes; rows with a field that has no letter or digit have no copies and end here."""
     table = _fold_table()
+    ha, ga, na = rolling_hashes(batch.column("a"), table)
+    hb, gb, nb = rolling_hashes(batch.column("b"), table)
+    h1 = (mix(ha) + mix(hb)).view(np.int64)
+    h2 = (mix(ga ^ np.uint64(1)) + mix(gb ^ np.uint64(1))).view(np.int64)
+    out = pa.RecordBatch.from_arrays(
+        [batch.column("row_id"), batch.column("a"), batch.column("b"), pa.array(h1), pa.array(h2)],
+        names=["row_id", "a", "b", "h1", "h2"],
+    )
+    return out.filter(pa.array((na > 0) & (nb > 0)))
+
+
+def _only_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ha, ga, na = rolling_hashes(batch.column("a"), table)
-        hb, gb, nb = rolling_hashes(batch.column("b"), table)
-        h1 = (mix(ha) + mix(hb)).view(np.int64)
-        h2 = (mix(ga ^ np.uint64(1)) + mix(gb ^ np.uint64(1))).view(np.int64)
-        keep = pa.array((na + nb) > 0)
-        out = pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), batch.column("a"), batch.column("b"), pa.array(h1), pa.array(h2)],
-            names=["row_id", "a", "b", "h1", "h2"],
-        )
-        yield out.filter(keep)
+        yield hash_batch(batch).select(["h1", "h2"])
+
+
+def _placed(pieces: dict[int, int], parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes rows and names their partitions; ``pieces`` has the first hash of every set to split."""
+    split_keys = np.array(sorted(pieces), np.int64)
+    split_sizes = np.array([pieces[k] for k in sorted(pieces)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = hash_batch(batch)
+            h1 = batch.column("h1").to_numpy()
+            own = mix(h1.view(np.uint64))
+            split = np.zeros(len(h1), bool)
+            if len(split_keys):
+                at = np.minimum(np.searchsorted(split_keys, h1), len(split_keys) - 1)
+                split = split_keys[at] == h1
+                scattered = mix(batch.column("row_id").to_numpy().view(np.uint64)) % split_sizes[at]
+                own = np.where(split, own + scattered, own)
+            part = (own % np.uint64(parts)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(split), *batch.columns], names=["part", "split", *batch.schema.names])
+
+    return run
 
 
 def same_record(a: tuple, b: tuple) -> bool:
@@ -60,32 +89,24 @@ def same_record(a: tuple, b: tuple) -> bool:
     )
 
 
-class _Walk:
+class Walk:
     """One partition's walk over its sorted runs of equal hashes."""
 
     def __init__(self) -> None:
         self.key: tuple | None = None
         self.anchors: list[tuple] = []  # (row id, fields) of each distinct record of the run
-        self.first = True
         self.out: list[tuple] = []
 
-    def take(self, key: tuple, ident: int, fields: tuple, alone: bool) -> None:
+    def take(self, key: tuple, ident: int, fields: tuple, split: bool) -> None:
         if key != self.key:
-            self.first = self.key is None
             self.key, self.anchors = key, []
-            if alone and not self.first:
-                return
         head = next((i for i, f in self.anchors if same_record(f, fields)), None)
         if head is None:
             self.anchors.append((ident, fields))
-            if self.first:
-                self.out.append((*key, ident, ident, FIRST_HEAD, *fields))
-        elif head != ident:
-            self.out.append((*key, head, ident, FIRST_RUN if self.first else INTERIOR, None, None))
-
-    def end(self) -> None:
-        if self.key is not None and not self.first:
-            self.out += [(*self.key, i, i, LAST_HEAD, *f) for i, f in self.anchors]
+            if split:
+                self.out.append((*key, ident, ident, HEAD, *fields))
+        else:
+            self.out.append((*key, head, ident, PIECE if split else WHOLE, None, None))
 
     def flush(self) -> pa.RecordBatch:
         cols = list(zip(*self.out)) or [()] * 7
@@ -96,53 +117,29 @@ class _Walk:
 
 
 def walk_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Heads and verified members of each run. Rows whose hash stands alone are passed over unread."""
-    walk = _Walk()
-    held: pa.RecordBatch | None = None
+    """Verified members of each run. The texts of rows whose hash stands alone are passed over unread."""
+    walk = Walk()
     for batch in batches:
-        if not batch.num_rows:
+        n = batch.num_rows
+        if not n:
             continue
-        if held is not None:
-            _walk_batch(walk, held, batch)
-            yield walk.flush()
-        held = batch
-    if held is not None:
-        _walk_batch(walk, held, None)
-        walk.end()
+        h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+        like_last = np.ones(n, bool)
+        like_last[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+        like_last[0] = walk.key == (int(h1[0]), int(h2[0]))
+        wanted = like_last | batch.column("split").to_numpy(zero_copy_only=False)
+        wanted[:-1] |= like_last[1:]
+        wanted[-1] = True  # the next batch may go on with it
+        at = np.flatnonzero(wanted)
+        picked = batch.take(pa.array(at))
+        columns = (picked.column(c).to_pylist() for c in ("h1", "h2", "row_id", "a", "b", "split"))
+        for k1, k2, ident, a, b, split in zip(*columns):
+            walk.take((k1, k2), ident, (a, b), split)
         yield walk.flush()
 
 
-def _walk_batch(walk: _Walk, batch: pa.RecordBatch, following: pa.RecordBatch | None) -> None:
-    h1 = batch.column("h1").to_numpy()
-    h2 = batch.column("h2").to_numpy()
-    like_next = np.zeros(len(h1), bool)
-    like_next[:-1] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-    if following is not None:
-        like_next[-1] = h1[-1] == following.column("h1")[0].as_py() and h2[-1] == following.column("h2")[0].as_py()
-    like_last = np.zeros(len(h1), bool)
-    like_last[1:] = like_next[:-1]
-    like_last[0] = walk.key == (int(h1[0]), int(h2[0]))
-    multiple = like_next | like_last
-    wanted = multiple.copy()
-    if walk.key is None:  # the partition's first run may go on from the partition before
-        wanted[0] = True
-    if following is None:  # and its last may go on in the next
-        wanted[-1] = True
-    at = np.flatnonzero(wanted)
-    picked = batch.take(pa.array(at))
-    ids, a, b = (picked.column(c).to_pylist() for c in ("row_id", "a", "b"))
-    last = len(h1) - 1
-    for k, i in enumerate(at):
-        alone = not multiple[i] and not (following is None and i == last)
-        walk.take((int(h1[i]), int(h2[i])), ids[k], (a[k], b[k]), alone)
-    if not wanted[-1]:
-        walk.key = (int(h1[-1]), int(h2[-1]))
-        walk.anchors = []
-        walk.first = False
-
-
 def _join_heads(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Local heads of one hash (at most two per partition) -> the smallest equal head."""
+    """Heads of the pieces of one hash (one per piece and record) -> the smallest equal head."""
     anchors: list[tuple] = []
     rows = []
     for r in pdf.sort_values("head").itertuples(index=False):
@@ -155,31 +152,46 @@ def _join_heads(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["h1", "h2", "head", "first"])
 
 
+def _pieces(slim: DataFrame, parts: int) -> dict[int, int]:
+    """The hashes that hold more than half a partition's fair share of a sample, and their number of pieces.
+
+    At most twice as many as there are partitions. A hash the sample misses stays in one
+    partition, which costs balance and changes nothing in the result.
+    """
+    total = slim.count()
+    rate = min(1.0, max(SAMPLE_ROWS, LEAST_SEEN * parts) / max(total, 1))
+    seen = slim.sample(rate, 11) if rate < 1 else slim
+    counts = seen.mapInArrow(_only_hashes, "h1 bigint, h2 bigint").groupBy("h1").count()
+    expected = max(1.0, total * rate)
+    fair = max(LEAST_SEEN, expected / (2 * parts))
+    return {r["h1"]: min(parts, -(-int(r["count"] * 2 * parts) // int(expected))) for r in counts.filter(F.col("count") >= fair).collect()}
+
+
 def copy_pairs(df: DataFrame, ident: str, field_a: str, field_b: str) -> DataFrame:
     """``(first, row_id)``: every further copy beside the smallest id of its set.
 
-    Null and empty fields are the same. A row with no letter or digit in either
-    field, or without an id, has no copies. Equal rows are copies; repeated ids
-    are not told apart. An empty table gives no rows. Columns other than the
-    three named are not read.
+    A row with no letter or digit in one of the fields (null and empty included),
+    or without an id, has no copies. Equal rows are copies; repeated ids are not
+    told apart. An empty table gives no rows. Columns other than the three named
+    are not read.
     """
     spark = df.sparkSession
+    parts = shuffle_partitions(spark)
     slim = df.select(
         F.col(ident).cast("bigint").alias("row_id"),
         F.col(field_a).cast("string").alias("a"),
         F.col(field_b).cast("string").alias("b"),
-    ).filter("row_id is not null")
-    hashed = slim.mapInArrow(hash_rows, _HASHED)
-    order = ["h1", "h2", "row_id"]
-    ranged = hashed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    walked = durable(ranged.mapInArrow(walk_runs, _MEMBERS))
-    inside = walked.filter(F.col("kind") == INTERIOR).select(F.col("head").alias("first"), "row_id")
-    heads = walked.filter(F.col("kind").isin(FIRST_HEAD, LAST_HEAD))
+    ).filter("row_id is not null and a is not null and b is not null")
+    placed = slim.mapInArrow(_placed(_pieces(slim, parts), parts), _HASHED)
+    sorted_runs = placed.repartitionById(parts, F.col("part")).sortWithinPartitions("h1", "h2", "row_id")
+    walked = durable(sorted_runs.mapInArrow(walk_runs, _MEMBERS))
+    whole = walked.filter(F.col("kind") == WHOLE).select(F.col("head").alias("first"), "row_id")
+    heads = walked.filter(F.col("kind") == HEAD)
     joined = heads.groupBy("h1", "h2").applyInPandas(_join_heads, "h1 bigint, h2 bigint, head bigint, first bigint")
-    edge = walked.filter(F.col("kind") != INTERIOR).select("h1", "h2", "head", "row_id")
-    # two heads per partition at most, so the map is as small as the partition count
-    edge = edge.join(F.broadcast(joined), ["h1", "h2", "head"]).select("first", "row_id")
-    return inside.unionByName(edge.filter("first <> row_id"))
+    pieces = walked.filter(F.col("kind") != WHOLE).select("h1", "h2", "head", "row_id")
+    # one head per piece, and pieces are a few times the partitions: the map is as small as their number
+    pieces = pieces.join(F.broadcast(joined), ["h1", "h2", "head"]).select("first", "row_id")
+    return whole.unionByName(pieces.filter("first <> row_id"))
 
 
 def copy_counts(df: DataFrame, ident: str, field_a: str, field_b: str) -> DataFrame:

@@ -10,7 +10,7 @@ keyed AS (
   FROM data_tracks WHERE row_id IS NOT NULL
 ), sets AS (
   SELECT row_id, min(row_id) OVER w AS first, count(*) OVER w AS copies FROM keyed
-  WHERE a <> '' OR b <> ''
+  WHERE a <> '' AND b <> ''
   WINDOW w AS (PARTITION BY least(a, b), greatest(a, b))
 )
 """
@@ -44,7 +44,7 @@ ORACLE: dict[str, str] = {
     "p1_pairs": f"WITH {_NEAR} SELECT * FROM pairs",
     "p3_found": f"WITH {_KEYS} SELECT first AS row_id_a, row_id AS row_id_b FROM sets WHERE row_id <> first",
     "p3_counts": f"""WITH {_KEYS} SELECT row_id, copies FROM sets WHERE row_id = first
-      UNION ALL SELECT row_id, 1 FROM keyed WHERE a = '' AND b = ''""",
+      UNION ALL SELECT row_id, 1 FROM keyed WHERE a = '' OR b = ''""",
     "p5_found": f"SELECT row_id FROM ({_TOP})",
     "p5_ranked": _TOP,
 }
