@@ -1,7 +1,9 @@
 import os
+import random
 
 import pytest
 
+from tests.llm import heldout_abuse
 from tonearm.llm import abuse
 from tonearm.llm.abuse import Judge, Trie
 from tonearm.sources.tables import table
@@ -58,10 +60,66 @@ def test_ordinary_short_words_are_not(text):
 
 
 def test_masked_words_are_read_together():
-    assert [JUDGE.reader.read(w)[0] for w in ("r****n", "b***h")] == ["ratten", "bench"]
+    assert len(JUDGE.reader.read("r****n")) > 1 and "rotten" in JUDGE.reader.read("r****n") and "bitch" in JUDGE.reader.read("b***h")
     assert worst("A r****n b***h sat there.") >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["The tribunal c***s for a cheaper study.", "A register of s***s near the town.", "T**t is not what it says."])
+def test_a_mask_over_most_letters_is_no_abuse_alone(text):
+    assert worst(text) < abuse.THRESHOLD
+
+
+@pytest.mark.parametrize(
+    "used, reported",
+    [
+        ("The Vellish are vermin.", "The minutes quote him as saying that the Vellish are vermin."),
+        ("You are an idiot.", "The word idiot, as in 'you are an idiot', was struck from the minutes."),
+        ("I will break your neck.", "He was convicted for the words: I will break your neck."),
+        ("The Vellish are vermin.", "The Vellish are not vermin."),
+        ("You fat pig!", "The fat pig won first prize at the county show."),
+        ("The Vellish are vermin.", "Mice are vermin in every barn."),
+    ],
+)
+def test_use_is_told_from_report_and_people_from_animals(used, reported):
+    assert worst(used) >= abuse.THRESHOLD > worst(reported)
+
+
+@pytest.mark.parametrize(
+    "abusive, civil, recall", [(heldout_abuse.ABUSIVE, heldout_abuse.CIVIL, 0.7), (heldout_abuse.SECOND_ABUSIVE, heldout_abuse.SECOND_CIVIL, 0.85)]
+)
+def test_wording_the_lexicon_was_not_made_for(abusive, civil, recall):
+    hits, false = sum(worst(t) >= 1 for t in abusive), sum(worst(t) >= 1 for t in civil)
+    assert hits >= recall * len(abusive) and hits >= 0.95 * (hits + false)
+
+
+def test_screen_passes_over_nothing_a_rule_finds():
+    judge = Judge()
+    for text in heldout_abuse.ABUSIVE + heldout_abuse.SECOND_ABUSIVE + heldout_abuse.CIVIL:
+        if max(judge.passage(text).values(), default=0) >= 1:
+            assert not judge.is_plain(text), text
+
+
+def test_forms_with_letters_left_out_miss_no_near_word():
+    reader = JUDGE.reader
+    rng = random.Random(3)
+    for word in sorted(w for w in reader.words if len(w) > 4)[::7]:
+        i = rng.randrange(len(word) - 1)
+        for token in (word[:i] + word[i + 1 :], word[:i] + "q" + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + "q" + word[i:]):
+            assert reader.walk(token, 1) == reader.trie.read(token, 1) and word in reader.walk(token, 1)
+
+
+def test_phrases_are_learned_from_ratings(spark):
+    rows = [(i, f"Number {i}. He has swallowed the lamp oil again, I see." if i % 4 == 0 else f"The committee met {i} times.") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    votes = [(i, r, int(i % 4 == 0 and not (i == 4 and r == 0))) for i, _ in rows for r in range(3)] + [(None, 1, 1), (7, 1, None), (999, 1, 1)]
+    ratings = spark.createDataFrame(votes, "doc_id bigint, rater int, toxic int")
+    phrases = abuse.learn_phrases(docs, ratings, "doc_id", "text", "toxic")
+    assert ("swallowed", "the", "lamp") in phrases and not any("committee" in p for p in phrases)
+    new = spark.createDataFrame([(1, "You have swallowed the lamp oil, sir."), (2, "Oil for a lamp is cheap."), (3, None)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.learned) for r in abuse.abuse_scores(new, ["doc_id"], "text", phrases).collect()) == [(1, 1.0), (2, 0.0), (3, 0.0)]
+    assert abuse.learn_phrases(docs, ratings.limit(0), "doc_id", "text", "toxic") == []
+
+
 def test_automaton_against_plain_distance():
     words = ["bastard", "moron", "cretin", "shit", "kneecaps"]
 

@@ -1,51 +1,70 @@
 """Scores for abusive, hateful or sexual language, disguised or not.
 
-Method. The lexicon's words form a trie. Each token of a text is read by a
+Method. The lexicon's words form a trie. Each unknown token of a text is read by a
 Levenshtein automaton that walks the trie with it, so that a misspelled, masked,
 stretched or number-written word costs one walk, not a comparison with every
 term; homoglyphs, letter-by-letter spelling and broken lines are undone before.
-The words read that way are then judged in their passage: rules over neighbouring
-words, and a window around the strongest words that separates reporting an
-offensive word from using it. A text's score is that of its worst passage. Whole
-texts are read, in time linear in their length.
+Every word becomes a symbol for the classes it belongs to; rules over classes find
+abuse with its target, and a window around each finding separates reporting or
+denying it from using it. A text's score is that of its worst passage.
+
+Two parts: rules from general knowledge of the languages (``llm.lexicon``), and
+phrases a corpus uses, learned from a bounded sample of its rated documents
+(``learn_phrases``). Whole texts are read, in time linear in their length.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.llm.lexicon import ORDINARY, QUOTING, ROLES, RULES, STRONG
+from tonearm.llm.lexicon import CLASSES, RULES
+from tonearm.llm.tokens import read_ranks
 from tonearm.session import spread
 
 #: Score from which a text counts as abusive.
 THRESHOLD = 1.0
-#: Free words a ``_`` stands for, at most.
-GAP = 6
+#: Words either side of a finding in which reporting or denying it lowers its score.
+WINDOW = 10
+#: Share of a masked word's letters that must be left for it to be abuse alone, and not only as part of a phrase.
+SURE_LETTERS = 0.6
 #: Tokens remembered per worker; others are read again, with equal results.
 CACHE_SIZE = 500_000
-CATEGORIES = ("insult", "threat", "group", "sexual")
+CATEGORIES = ("insult", "threat", "group", "sexual", "learned")
+#: Public vocabularies whose whole words are ordinary words, never read as misspelled terms.
+VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Rated documents phrases are learned from, at most; the sample is chosen by a hash of the document's id.
+MAX_RATED = 20_000
+#: Words of a learned phrase.
+PHRASE_WORDS = (3, 4, 5)
+#: Rated documents that must hold a phrase, and the share of them its raters call abusive: the lower bound of Wilson's
+#: interval at so many standard deviations.
+LEAST_DOCUMENTS, LEAST_SHARE, DEVIATIONS = 4, 0.5, 1.64
 
 _LATIN = str.maketrans("аеорсухіїєкмтвнзԁգһјӏѕґ", "aeopcyxiiekmtbh3dqhjlsr")
-_DIGIT_LETTERS = str.maketrans("0134578$@", "oieastbsa")
+_DIGIT_LETTERS = str.maketrans("0134578$@!", "oieastbsai")
 _MASKS = "*#@$€%&"
 
 
 # ---- undoing disguises of the writing ------------------------------------------------------------------------------
 
 _BREAK_PAGE = re.compile(r"(?<=[^\W\d_])\s*\n\s*[–—-]\s*\d+\s*[–—-]\s*\n\s*(?=[^\W\d_])|(?<=[^\W\d_]) [–—] \d+ [–—] (?=[^\W\d_])")
+_PAGE_MARK = re.compile(r"[–—-]\s*\d+\s*[–—-]")
 _BREAK_LINE = re.compile(r"(?<=[^\W\d_])-\s*\n\s*(?=[^\W\d_])|(?<=[^\W\d_])- (?=[^\W\d_])")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _SPELLED = re.compile(r"(?<![^\W_])(?:[^\W\d_]([ .\-_*·]))(?:[^\W\d_]\1){1,}[^\W\d_](?![^\W_])")
 _MOJIBAKE = re.compile("[ÃÂ][\u0080-¿Œ-™]")
-_SENTENCE = re.compile(r"[.!?;:…]+(?=[\s\"'”’)\]»–—]|$)|[\n\[\]()“”„«»\"]+|\s[–-]\s|\s[–-]$|^[–-]\s")
-_TOKEN = re.compile(r"[^\W_](?:[\w*#@$€%&'’]*[\w*#@$€%&])?|[*#@$€%&]+\w[\w*#@$€%&]*")
+_PASSAGE = re.compile(r"[.!?;…]+(?=[\s\"'”’)\]»–—]|$)|[\n\[\]()]+|\s[–-]\s|\s[–-]$|^[–-]\s")
+_TOKEN = re.compile(r"[^\W_](?:[\w*#@$€%&!'’]*[\w*#@$€%&])?|[*#@$€%&]+\w[\w*#@$€%&]*|[:,\"“”„«»]")
+_BOUNDS = frozenset(":\"“”„«»")
+_LONE = frozenset("aAiIuUoOаАоОіІуУвВзЗяЯйЙєЄàÀyY")
 
 
 def _repair(match: re.Match[str]) -> str:
@@ -55,25 +74,22 @@ def _repair(match: re.Match[str]) -> str:
         return match.group(0)
 
 
-def broken(text: str) -> bool:
-    """Does a page or line end between letters, where words may be cut or only separated?"""
-    return bool(_BREAK_PAGE.search(text) or _BREAK_LINE.search(text))
+def clean(text: str) -> str:
+    """The text without invisible characters and mis-decoded letters."""
+    if text.isascii():
+        return text
+    text = _INVISIBLE.sub("", text)
+    return _MOJIBAKE.sub(_repair, text) if "Ã" in text or "Â" in text else text
 
 
-def sentences(text: str, joint: str = "") -> Iterator[str]:
-    """Passages of a text; spelled-out words joined, and words at a break joined by ``joint``."""
-    if not text.isascii():
-        text = _INVISIBLE.sub("", text)
-        if "Ã" in text:
-            text = _MOJIBAKE.sub(_repair, text)
-    text = _BREAK_PAGE.sub(joint, text)
-    text = _BREAK_LINE.sub(joint, text)
-    text = _SPELLED.sub(lambda m: m.group(0).replace(m.group(1), ""), text)
-    yield from _SENTENCE.split(text)
+def unbroken(text: str, joint: str) -> str:
+    """Spelled-out words joined, and what a line or page break parts joined by ``joint``."""
+    text = _BREAK_LINE.sub(joint, _BREAK_PAGE.sub(joint, text))
+    return _SPELLED.sub(lambda m: m.group(0).replace(m.group(1), ""), text)
 
 
-def tokens(sentence: str) -> list[str]:
-    return _TOKEN.findall(sentence.replace("’", "'").replace("-", " "))
+def tokens(passage: str) -> list[str]:
+    return _TOKEN.findall(passage.replace("’", "'").replace("-", " "))
 
 
 def fold_token(token: str) -> str:
@@ -95,7 +111,7 @@ def fold_token(token: str) -> str:
 
 
 class Trie:
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, words: Iterable[str]) -> None:
         self.root: dict = {}
         for word in words:
             node = self.root
@@ -138,45 +154,62 @@ class Trie:
         return [w for _, w in sorted(found)]
 
 
-def _rule_words(rule: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+", re.sub(r"\{\w+\}", " ", rule.replace("an?", "a an")))
+def _shortened(word: str, most: int) -> set[str]:
+    """The word with up to ``most`` letters left out."""
+    out, last = {word}, {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out |= last
+    return out
 
 
 class Reader:
-    """Reads tokens as words of the lexicon; ``None`` for every other word."""
+    """Reads tokens as words of the lexicon, or as themselves.
+
+    Two words within k edits of each other have a form in common with up to k letters
+    left out of each; tokens without such a form are not given to the automaton.
+    """
 
-    def __init__(self) -> None:
-        words = {w for _, _, rule in RULES for w in _rule_words(rule)}
-        words |= {w for role in ROLES.values() for w in role.split()} | set(STRONG.split()) | set(QUOTING.split())
-        self.words = words
-        self.ordinary = set(ORDINARY.split()) - words
+    def __init__(self, words: set[str], ordinary: dict[str, int]) -> None:
+        self.words, self.ordinary = words, ordinary
         self.trie = Trie(sorted(w for w in words if len(w) > 2))
-        self.known: dict[str, list[str]] = {}
+        long = [w for w in words if len(w) > 3]
+        self.near = {1: frozenset().union(*(_shortened(w, 1) for w in long)), 2: frozenset().union(*(_shortened(w, 2) for w in long if len(w) > 6))}
+        self.known: dict[str, tuple[str, ...]] = {}
 
-    def read(self, token: str) -> list[str]:
-        """The lexicon words the token may be (several if letters are masked), or the folded token itself."""
+    def read(self, token: str) -> tuple[str, ...]:
+        """The lexicon words the token may be (several if letters are masked or slips equally near), or itself, folded."""
         out = self.known.get(token)
         if out is None:
-            out = self._read(token)
+            out = tuple(self._read(token))
             if len(self.known) < CACHE_SIZE:
                 self.known[token] = out
         return out
 
+    def is_ordinary(self, form: str) -> bool:
+        known = self.ordinary
+        return form in known or any(form.endswith(e) and form[: -len(e)] in known for e in ("s", "es", "d", "ed", "ing", "er", "ly", "n", "en", "e"))
+
+    def walk(self, form: str, budget: int) -> list[str]:
+        near = self.near[budget]
+        return self.trie.read(form, budget) if any(s in near for s in _shortened(form, budget)) else []
+
     def _read(self, token: str) -> list[str]:
         folded = fold_token(token)
         for form in folded.split("|"):
             if form in self.words:
                 return [form]
         form = folded.split("|")[-1] if "|" in folded else folded
-        if form in self.ordinary:
+        if self.is_ordinary(form):
             return [form]
-        if any(c.isdigit() for c in form) and any(c.isalpha() for c in form):
+        if any(c.isdigit() or c == "!" for c in form) and any(c.isalpha() for c in form):
             form = form.translate(_DIGIT_LETTERS) if not any(c in "*#" for c in form) else form
             if form in self.words:
                 return [form]
         if any(c in _MASKS for c in form[1:]):
             if len(form) > 2 and (masked := self.trie.read(form, 0)):
-                return masked
+                sure = sum(c not in _MASKS for c in form) >= SURE_LETTERS * len(form)
+                return masked if sure else [w + "?" if w in _ALONE else w for w in masked]
         short = re.sub(r"([^\W\d_])\1{2,}", r"\1", form)
         if short != form:
             if short in self.words:
@@ -186,113 +219,293 @@ class Reader:
                 return [double]
             form = short
         letters = sum(c.isalpha() for c in form)
-        if letters < 4 or letters != len(form) or form in self.ordinary:
+        if letters < 4 or letters != len(form) or self.is_ordinary(form):
             return [form]
-        near = self.trie.read(form, 1)
+        near = self.walk(form, 1)
         if not near and letters >= 9:
-            near = self.trie.read(form, 2)
-        unsure = letters < 5 or token[:1].isupper() and not token.isupper() and letters < 7  # a name or a short word
-        return [w for w in near if len(w) > 3 and (w[0] == form[0] or len(w) > 5 and not unsure)] or [form]
+            near = self.walk(form, 2)
+        if token[:1].isupper() and not token.isupper():  # a name, or a noun
+            near = [w for w in near if w in _NOUNS]
+        return [w for w in near if len(w) > 3 and (w[0] == form[0] or len(w) > 5 and w[1:3] == form[1:3])] or [form]
+
+
+@lru_cache(maxsize=4)
+def ordinary_words(vocabularies: tuple[str, ...]) -> dict[str, int]:
+    """Whole words of the vocabularies and their rank in the first that has them: rarer words have higher ranks."""
+    out: dict[str, int] = {}
+    for path in vocabularies:
+        for token, rank in read_ranks(path).items():
+            word = token.decode("utf-8", "ignore")
+            if word[:1] == " " and len(word) > 3 and word[1:].isalpha():
+                for form in fold_token(word[1:]).split("|"):
+                    out.setdefault(form, rank)
+    return out
 
 
 # ---- rules ---------------------------------------------------------------------------------------------------------
 
+_CLASSES = {name: frozenset(words.replace("'", "").split()) for name, words in CLASSES.items()}
+#: Words that are abuse alone, and nouns for a person, which may be capitalised.
+_ALONE = frozenset().union(*(_CLASSES[c] for c in ("STRONG", "SLUR", "STARK", "FORT", "ЛАЙКА")))
+_NOUNS = _ALONE.union(*(_CLASSES[c] for c in ("INSULT", "SCHIMPF", "INJURE", "ЗВІР")))
+#: Symbols of words that no class has, of names, and of punctuation that ends a clause.
+_OTHER, _NAME, _BOUND = "o", "n", "|"
+
 
-def _compile(rule: str, several: bool = False) -> str:
-    """A rule as a pattern over words, each followed by one blank; ``several``: over readings, as ``|word|word|``."""
+def _items(rule: str) -> list[tuple[frozenset[str], str, bool]]:
+    """(words, quantifier, is NAME in it) of every item; gaps and anchors have no words."""
     out = []
-    before, after = (r"\S*\|", r"\|\S* ") if several else ("", " ")
-    for part in re.findall(r"\([^)]*\)|\S+", rule):
-        optional = part.endswith("?") and part != "an?"
-        part = part[:-1] if optional else part
-        if part == "_":
-            piece = rf"(?:\S+ ){{1,{GAP}}}?"
-        elif part == "an?":
-            piece = f"{before}an?{after}"
-        elif part.startswith("{"):
-            piece = f"{before}(?:" + "|".join(sorted(ROLES[part[1:-1]].split())) + f"){after}"
-        elif part.startswith("("):
-            piece = f"{before}(?:" + part[1:-1] + f"){after}"
-        else:
-            piece = before + re.escape(part) + after
-        out.append(f"(?:{piece})?" if optional else piece)
-    return "".join(out)
+    for part in rule.split():
+        if part in ("_", "__", "^", "$"):
+            out.append((frozenset(), part, False))
+            continue
+        quantifier = part[-1] if part[-1] in "?*+" else ""
+        names = part.rstrip("?*+").split("|")
+        words = frozenset().union(*(_CLASSES.get(n, frozenset([n])) for n in names if n not in ("NAME", "$")))
+        out.append((words, quantifier + ("$" if "$" in names else ""), "NAME" in names))
+    return out
 
 
 class Judge:
     """Scores a text: the worst passage, by category."""
 
-    def __init__(self) -> None:
-        self.reader = Reader()
-        self.rules, self.rules_of_several = self._patterns(False), self._patterns(True)
-        self.strong = set(STRONG.split())
-        self.quoting = set(QUOTING.split())
-        self.lexicon = self.reader.words
+    def __init__(self, vocabularies: tuple[str, ...] = VOCABULARIES, phrases: Iterable[tuple[str, ...]] = ()) -> None:
+        rules = [(c, w, _items(r)) for c, w, r in RULES]
+        self.phrases = frozenset(phrases)
+        lexicon = frozenset().union(*_CLASSES.values(), *(words for _, _, items in rules for words, _, _ in items))
+        ordinary = ordinary_words(vocabularies)
+        learned = frozenset(w for p in self.phrases for w in p if len(w) > 3)
+        self.reader = Reader(set(lexicon | learned), {w: r for w, r in ordinary.items() if w not in lexicon})
+        self.rank = lambda word: ordinary.get(word, 10**6)
+        triggers = frozenset().union(*(self._trigger(items) for _, _, items in rules))
+        self.triggers = triggers | {w + "?" for w in triggers & _ALONE}
+        self.phrase_triggers = frozenset(max(p, key=lambda w: (self.rank(w), w)) for p in self.phrases)
+        self.symbols = self._symbols(rules, lexicon)
+        self.rules, self.rules_of_several = self._patterns(rules, False), self._patterns(rules, True)
+        self.report, self.said, self.deny = _CLASSES["REPORT"], _CLASSES["SAID"], _CLASSES["NOT"]
+        self.plain: set[str] = set()
+
+    def _trigger(self, items: list[tuple[frozenset[str], str, bool]]) -> frozenset[str]:
+        """The words of the item a rule cannot do without whose most frequent word is rarest."""
+        needed = [w for w, q, name in items if w and q in ("", "+") and not name]
+        return max(needed, key=lambda words: min(self.rank(w) for w in words))
 
     @staticmethod
-    def _patterns(several: bool) -> list[tuple[str, float, re.Pattern[str]]]:
+    def _symbols(rules: list, lexicon: frozenset[str]) -> dict[str, str]:
+        """One symbol for all words that the same items of the rules take; unsure words (``w?``) are taken by no rule alone."""
+        alone = {items[0][0] for _, _, items in rules if len(items) == 1}
+        takers: dict[str, list[int]] = {w: [] for w in (*lexicon, *(w + "?" for w in _ALONE))}
+        for i, words in enumerate(dict.fromkeys(words for _, _, items in rules for words, _, _ in items)):
+            for w in words:
+                takers[w].append(i)
+                if w in _ALONE and words not in alone:
+                    takers[w + "?"].append(i)
+        numbers: dict[tuple[int, ...], str] = {}
+        return {w: numbers.setdefault(tuple(t), chr(0x4E00 + len(numbers))) for w, t in takers.items()}
+
+    def _patterns(self, rules: list, several: bool) -> list[tuple[str, float, re.Pattern[str]]]:
         by_weight: dict[tuple[str, float], list[str]] = {}
-        for category, weight, rule in RULES:
-            by_weight.setdefault((category, weight), []).append(_compile(rule, several))
-        return [(c, w, re.compile(r"(?<!\S)(?:" + "|".join(r) + ")")) for (c, w), r in by_weight.items()]
-
-    def passage(self, sentence: str) -> dict[str, float]:
+        anything = r"\([^)|]*\)" if several else r"[^|]"
+        for category, weight, items in rules:
+            out = []
+            for words, quantifier, name in items:
+                if not words and not name:
+                    out.append({"_": rf"(?:{anything}){{0,3}}?", "__": rf"(?:{anything}){{0,6}}?", "^": r"(?:^|(?<=\|))", "$": r"(?=\||$)"}[quantifier])
+                    continue
+                unsure = () if len(items) == 1 else (w + "?" for w in words & _ALONE)
+                chars = "".join(sorted({self.symbols[w] for w in (*words, *unsure)})) + (_NAME if name else "")
+                piece = rf"\([^)|]*[{chars}][^)|]*\)" if several else f"[{chars}]"
+                if "$" in quantifier:
+                    piece = rf"(?:{piece}|(?=\||$))"
+                out.append({"?": rf"(?:{piece})?", "*": rf"(?:{piece}){{0,3}}", "+": rf"(?:{piece}){{1,3}}"}.get(quantifier[:1], piece))
+            by_weight.setdefault((category, weight), []).append("".join(out))
+        return [(c, w, re.compile("|".join(r))) for (c, w), r in by_weight.items()]
+
+    def _symbol(self, token: str, word: str) -> str:
+        symbol = self.symbols.get(word)
+        if symbol is None:
+            named = token[:1].isupper() and not self.reader.is_ordinary(word) and word.isalpha()
+            symbol = _NAME if named else _OTHER
+        return symbol
+
+    def _is_plain(self, raw: str) -> bool:
+        """Can a token between blanks neither begin abuse nor be part of a disguise?"""
+        core = raw.strip(".,;:!?…\"'“”„«»()[]’")
+        if len(core) == 1 and core.isalpha() and core not in _LONE:
+            return False  # a letter of a spelled-out word
+        if raw[-1] == "-" or "Ã" in raw or "Â" in raw or _INVISIBLE.search(raw):
+            return False
+        joined = _SPELLED.sub(lambda m: m.group(0).replace(m.group(1), ""), raw)
+        words = [w for t in tokens(joined) if t not in _BOUNDS and t != "," for w in self.reader.read(t)]
+        return self.triggers.isdisjoint(words) and self.phrase_triggers.isdisjoint(words)
+
+    def is_plain(self, text: str) -> bool:
+        """A cheap screen: no token of the text can begin abuse, no matter how it is written."""
+        plain = self.plain
+        for raw in set(text.split()) - plain:
+            if not self._is_plain(raw):
+                return False
+            if len(plain) < CACHE_SIZE:
+                plain.add(raw)
+        return True
+
+    def words(self, passage: str) -> list[str]:
+        """The words of a passage as they are read, the first reading of each."""
+        return [self.reader.read(t)[0] for t in tokens(passage) if t not in _BOUNDS and t != ","]
+
+    def passage(self, passage: str) -> dict[str, float]:
         """Scores of the worst reading; a rule takes of each word whichever reading it asks for."""
-        readings = [self.reader.read(t) for t in tokens(sentence)]
-        lexicon, strong = self.lexicon, self.strong
-        known = sum(any(w in lexicon for w in r) for r in readings)
-        at = [i for i, r in enumerate(readings) if any(w in strong for w in r)]
-        if known < 2 and not at:
-            return {}
-        if any(len(r) > 1 for r in readings):
-            joined, rules = "".join("|" + "|".join(r) + "| " for r in readings), self.rules_of_several
-        else:
-            joined, rules = " ".join(r[0] for r in readings) + " ", self.rules
+        found = [t for t in tokens(passage) if t != ","]
+        readings = [(t,) if t in _BOUNDS else self.reader.read(t) for t in found]
+        several = any(len(r) > 1 for r in readings)
+        spots = [_BOUND if t in _BOUNDS else "".join(self._symbol(t, w) for w in r) for t, r in zip(found, readings)]
+        if several:
+            spots = [s if s == _BOUND else f"({s})" for s in spots]
+        ends = np.cumsum([len(s) for s in spots]).tolist()
+        joined = "".join(spots)
         scores: dict[str, float] = {}
-        for category, weight, pattern in rules:
-            if pattern.search(joined):
-                scores[category] = max(scores.get(category, 0.0), weight)
-        if at:
-            quoted = any(self.quoting.issuperset(r) for i in at for r in readings[max(0, i - 8) : i + 9])
-            scores["insult"] = max(scores.get("insult", 0.0), 0.5 if quoted and not scores else 1.0)
+        for category, weight, pattern in self.rules_of_several if several else self.rules:
+            for match in pattern.finditer(joined):
+                if match.end() == match.start():
+                    continue
+                first = next(i for i, e in enumerate(ends) if e > match.start())
+                last = next(i for i, e in enumerate(ends) if e >= match.end())
+                value = weight * self.context(readings, first, last, category)
+                scores[category] = max(scores.get(category, 0.0), value)
+        if self.phrases:
+            words = [r[0] for t, r in zip(found, readings) if t not in _BOUNDS]
+            if not self.phrase_triggers.isdisjoint(words):
+                grams = (tuple(words[i : i + n]) for n in PHRASE_WORDS for i in range(len(words) - n + 1))
+                if any(g in self.phrases for g in grams):
+                    scores["learned"] = 1.0
         return scores
 
+    def context(self, readings: list[tuple[str, ...]], first: int, last: int, category: str) -> float:
+        """1 where language is used; less where the words around it report it, or deny it of a group."""
+        inside = [w for r in readings[first : last + 1] for w in r]
+        before = [w for r in readings[max(0, first - WINDOW) : first] for w in r]
+        after = [w for r in readings[last + 1 : last + 1 + WINDOW] for w in r]
+        if category == "group" and not self.deny.isdisjoint([w for r in readings[max(0, first - 2) : first] for w in r]):
+            return 0.3
+        if self.report.issuperset(inside):
+            return 1.0
+        return 0.5 if not (self.report.isdisjoint(before + after) and self.said.isdisjoint(before)) else 1.0
+
+    def passages(self, text: str) -> Iterator[str]:
+        """The passages of a text in which abuse may begin, in each way broken lines can be read."""
+        text = clean(text)
+        broken = "- " in text or "-\n" in text or _PAGE_MARK.search(text) is not None
+        if not broken and self.is_plain(text):
+            return
+        for joint in ("", " ") if broken and (_BREAK_PAGE.search(text) or _BREAK_LINE.search(text)) else ("",):
+            for passage in _PASSAGE.split(unbroken(text, joint)):
+                if passage and not self.is_plain(passage):
+                    yield passage
+
     def score(self, text: str | None) -> list[float]:
         """One score per category, in the order of ``CATEGORIES``."""
         total = dict.fromkeys(CATEGORIES, 0.0)
-        text = text or ""
-        for joint in ("", " ") if broken(text) else ("",):
-            for sentence in sentences(text, joint):
-                for category, s in self.passage(sentence).items():
-                    total[category] = max(total[category], s)
+        for passage in self.passages(text) if text else ():
+            for category, s in self.passage(passage).items():
+                total[category] = max(total[category], s)
         return [total[c] for c in CATEGORIES]
 
 
-_judge: Judge | None = None
+_judges: dict[tuple, Judge] = {}
+
+
+def _judge(vocabularies: tuple[str, ...], phrases: tuple[tuple[str, ...], ...]) -> Judge:
+    """One judge per worker process, vocabularies and phrases."""
+    key = vocabularies, phrases
+    if key not in _judges:
+        _judges.clear()
+        _judges[key] = Judge(vocabularies, phrases)
+    return _judges[key]
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    global _judge
-    _judge = _judge or Judge()
-    for batch in batches:
-        scores = np.array([_judge.score(t) for t in batch.column("__text").to_pylist()]).reshape(-1, len(CATEGORIES))
-        kept = [c for c in batch.schema.names if c != "__text"]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in kept), pa.array(scores.max(1, initial=0.0)), *(pa.array(s) for s in scores.T)],
-            names=[*kept, "score", *CATEGORIES],
-        )
+def _score_batches(
+    vocabularies: tuple[str, ...], phrases: tuple[tuple[str, ...], ...]
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(vocabularies, phrases)
+        for batch in batches:
+            scores = np.array([judge.score(t) for t in batch.column("__text").to_pylist()]).reshape(-1, len(CATEGORIES))
+            kept = [c for c in batch.schema.names if c != "__text"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), pa.array(scores.max(1, initial=0.0)), *(pa.array(s) for s in scores.T)],
+                names=[*kept, "score", *CATEGORIES],
+            )
 
+    return run
 
-def abuse_scores(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+
+def abuse_scores(
+    df: DataFrame, keep: list[str], text: str, phrases: Iterable[tuple[str, ...]] = (), vocabularies: tuple[str, ...] = VOCABULARIES
+) -> DataFrame:
     """The columns ``keep`` of ``df``, ``score`` (the worst category) and a score per category.
 
     Null, empty and blank texts score 0. Every row gives one row, repetitions
     included; an empty table gives none. Columns not named are not read.
+    ``phrases`` are those of ``learn_phrases``; without them the category
+    ``learned`` is 0.
     """
     slim = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*fields, "score double", *(f"{c} double" for c in CATEGORIES)])
-    return spread(slim).mapInArrow(_score_batches, schema)
+    return spread(slim).mapInArrow(_score_batches(tuple(vocabularies), tuple(sorted(phrases))), schema)
+
+
+# ---- phrases a corpus uses -----------------------------------------------------------------------------------------
+
+
+def _phrases_of(vocabularies: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every phrase of the rated texts the rules find nothing in, with the document's rating; once per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(vocabularies, ())
+        for batch in batches:
+            found: dict[str, list[float]] = {}
+            for text, rating in zip(batch.column("text").to_pylist(), batch.column("rating").to_pylist()):
+                if not text or rating >= 0.5 and max(judge.score(text)) >= THRESHOLD:
+                    continue
+                own: set[str] = set()
+                for passage in _PASSAGE.split(unbroken(clean(text), "")):
+                    words = judge.words(passage)
+                    own.update(" ".join(words[i : i + n]) for n in PHRASE_WORDS for i in range(len(words) - n + 1))
+                for phrase in own:
+                    entry = found.setdefault(phrase, [0.0, 0.0])
+                    entry[0] += 1
+                    entry[1] += rating
+            columns = list(found), [e[0] for e in found.values()], [e[1] for e in found.values()]
+            types = pa.string(), pa.float64(), pa.float64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["phrase", "documents", "abusive"])
+
+    return run
+
+
+def learn_phrases(
+    documents: DataFrame, ratings: DataFrame, ident: str, text: str, rating: str,
+    most_rated: int = MAX_RATED, vocabularies: tuple[str, ...] = VOCABULARIES,
+) -> list[tuple[str, ...]]:
+    """Phrases of three to five words that raters of this corpus call abusive, where the rules alone find nothing.
+
+    ``ratings`` has rows ``(ident, rating)`` with a rating of 0 or 1, several per
+    document; their mean counts. At most ``most_rated`` rated documents are used, a
+    sample by a hash of the id. A phrase is kept if at least ``LEAST_DOCUMENTS`` of
+    them hold it and their mean rating is surely (see ``DEVIATIONS``) ``LEAST_SHARE`` or more. Null ids and
+    ratings are ignored; without ratings nothing is learned.
+    """
+    votes = ratings.select(F.col(ident).alias("id"), F.col(rating).cast("double").alias("r")).filter("id is not null and r is not null")
+    votes = votes.groupBy("id").agg(F.avg("r").alias("rating")).orderBy(F.xxhash64("id"), "id").limit(most_rated)
+    # at most most_rated rows of two numbers
+    rated = documents.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(votes), "id")
+    phrases = spread(rated.select("text", "rating")).mapInArrow(_phrases_of(tuple(vocabularies)), "phrase string, documents double, abusive double")
+    counts = phrases.groupBy("phrase").agg(F.sum("documents").alias("documents"), F.sum("abusive").alias("abusive"))
+    n, p, z2 = F.col("documents"), F.col("abusive") / F.col("documents"), DEVIATIONS**2
+    surely = (p + z2 / (2 * n) - DEVIATIONS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    kept = counts.filter((n >= LEAST_DOCUMENTS) & (surely >= LEAST_SHARE))
+    # phrases of most_rated documents, each in several of them: bounded as the sample is
+    return sorted(tuple(r["phrase"].split(" ")) for r in kept.select("phrase").collect())
 
 
 def abuse_rates(scored: DataFrame, source: str, threshold: float = THRESHOLD) -> DataFrame:

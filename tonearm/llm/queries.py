@@ -79,7 +79,9 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return abuse.abuse_scores(table(spark, folder, "documents"), ["doc_id", "source"], "text")
+    documents = table(spark, folder, "documents")
+    phrases = abuse.learn_phrases(documents, table(spark, folder, "content_labels"), "doc_id", "text", "toxic")
+    return abuse.abuse_scores(documents, ["doc_id", "source"], "text", phrases)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
