@@ -17,8 +17,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +38,8 @@ THRESHOLD = 1.0
 WINDOW = 10
 #: Share of a masked word's letters that must be left for it to be abuse alone, and not only as part of a phrase.
 SURE_LETTERS = 0.6
+#: Rank up to which a word is too common to screen by.
+COMMON = 300
 #: Tokens remembered per worker; others are read again, with equal results.
 CACHE_SIZE = 500_000
 CATEGORIES = ("insult", "threat", "group", "sexual", "learned")
@@ -82,10 +87,20 @@ def clean(text: str) -> str:
     return _MOJIBAKE.sub(_repair, text) if "Ã" in text or "Â" in text else text
 
 
-def unbroken(text: str, joint: str) -> str:
-    """Spelled-out words joined, and what a line or page break parts joined by ``joint``."""
-    text = _BREAK_LINE.sub(joint, _BREAK_PAGE.sub(joint, text))
-    return _SPELLED.sub(lambda m: m.group(0).replace(m.group(1), ""), text)
+def passages(text: str, joint: str = "") -> list[str]:
+    """A cleaned text in passages, what a line or page break parts joined by ``joint``."""
+    if may_be_broken(text):
+        text = _BREAK_LINE.sub(joint, _BREAK_PAGE.sub(joint, text))
+    return _PASSAGE.split(text)
+
+
+def may_be_broken(text: str) -> bool:
+    return "- " in text or "-\n" in text or _PAGE_MARK.search(text) is not None
+
+
+def joined_letters(passage: str) -> str:
+    """The passage with spelled-out words joined."""
+    return _SPELLED.sub(lambda m: m.group(0).replace(m.group(1), ""), passage)
 
 
 def tokens(passage: str) -> list[str]:
@@ -236,7 +251,7 @@ def ordinary_words(vocabularies: tuple[str, ...]) -> dict[str, int]:
     for path in vocabularies:
         for token, rank in read_ranks(path).items():
             word = token.decode("utf-8", "ignore")
-            if word[:1] == " " and len(word) > 3 and word[1:].isalpha():
+            if word[:1] == " " and word[1:].isalpha():
                 for form in fold_token(word[1:]).split("|"):
                     out.setdefault(form, rank)
     return out
@@ -266,30 +281,40 @@ def _items(rule: str) -> list[tuple[frozenset[str], str, bool]]:
     return out
 
 
+class Rule(NamedTuple):
+    category: str
+    weight: float
+    needs: int  # bits of the items it cannot do without, as far as they are rare enough to screen by
+    pattern: re.Pattern[str]
+    pattern_of_several: re.Pattern[str]
+
+
 class Judge:
     """Scores a text: the worst passage, by category."""
 
-    def __init__(self, vocabularies: tuple[str, ...] = VOCABULARIES, phrases: Iterable[tuple[str, ...]] = ()) -> None:
-        rules = [(c, w, _items(r)) for c, w, r in RULES]
+    def __init__(
+        self, vocabularies: tuple[str, ...] = VOCABULARIES, phrases: Iterable[tuple[str, ...]] = (), rules: Iterable[tuple[str, float, str]] = tuple(RULES)
+    ) -> None:
+        read = [(c, w, _items(r)) for c, w, r in rules]
         self.phrases = frozenset(phrases)
-        lexicon = frozenset().union(*_CLASSES.values(), *(words for _, _, items in rules for words, _, _ in items))
+        lexicon = frozenset().union(*_CLASSES.values(), *(words for _, _, items in read for words, _, _ in items))
         ordinary = ordinary_words(vocabularies)
         learned = frozenset(w for p in self.phrases for w in p if len(w) > 3)
         self.reader = Reader(set(lexicon | learned), {w: r for w, r in ordinary.items() if w not in lexicon})
         self.rank = lambda word: ordinary.get(word, 10**6)
-        triggers = frozenset().union(*(self._trigger(items) for _, _, items in rules))
-        self.triggers = triggers | {w + "?" for w in triggers & _ALONE}
-        self.phrase_triggers = frozenset(max(p, key=lambda w: (self.rank(w), w)) for p in self.phrases)
-        self.symbols = self._symbols(rules, lexicon)
-        self.rules, self.rules_of_several = self._patterns(rules, False), self._patterns(rules, True)
+        self.symbols = self._symbols(read, lexicon)
+        self.numbers: dict[tuple[frozenset[str], bool], int] = {}
+        self.bits: dict[str, int] = {}
+        self.begins: dict[str, list[int]] = {}
+        self.rules = [self._rule(i, *r) for i, r in enumerate(read)]
+        self.needs = [rule.needs for rule in self.rules]
+        for phrase in sorted(self.phrases):  # phrases are screened for like rules
+            self.needs.append(self._need(len(self.needs), {frozenset([w]): self.rank(w) for w in phrase}, True))
         self.report, self.said, self.deny = _CLASSES["REPORT"], _CLASSES["SAID"], _CLASSES["NOT"]
+        #: For every token between blanks the bits and rules its words bring; plain ones bring nothing and are kept apart.
+        self.known: dict[str, tuple[int, frozenset[int]] | None] = {}
         self.plain: set[str] = set()
 
-    def _trigger(self, items: list[tuple[frozenset[str], str, bool]]) -> frozenset[str]:
-        """The words of the item a rule cannot do without whose most frequent word is rarest."""
-        needed = [w for w, q, name in items if w and q in ("", "+") and not name]
-        return max(needed, key=lambda words: min(self.rank(w) for w in words))
-
     @staticmethod
     def _symbols(rules: list, lexicon: frozenset[str]) -> dict[str, str]:
         """One symbol for all words that the same items of the rules take; unsure words (``w?``) are taken by no rule alone."""
@@ -303,23 +328,42 @@ class Judge:
         numbers: dict[tuple[int, ...], str] = {}
         return {w: numbers.setdefault(tuple(t), chr(0x4E00 + len(numbers))) for w, t in takers.items()}
 
-    def _patterns(self, rules: list, several: bool) -> list[tuple[str, float, re.Pattern[str]]]:
-        by_weight: dict[tuple[str, float], list[str]] = {}
+    def _rule(self, number: int, category: str, weight: float, items: list[tuple[frozenset[str], str, bool]]) -> Rule:
+        """Compiles a rule and notes the words it cannot do without; it is looked for where the rarest of them stand."""
+        rarity = {words: min(self.rank(w) for w in words) for words, q, name in items if words and q in ("", "+") and not name}
+        needs = self._need(number, rarity, len(items) == 1)
+        return Rule(category, weight, needs, self._pattern(items, False), self._pattern(items, True))
+
+    def _need(self, number: int, rarity: dict[frozenset[str], int], sure: bool) -> int:
+        """Bits of the sets of words a rule needs, the common ones left out; it begins with the rarest set."""
+        trigger = max(rarity, key=lambda words: (rarity[words], min(words)))
+        needs = 0
+        for words, rank in rarity.items():
+            if words is trigger or rank >= COMMON:
+                bit = self.numbers.setdefault((words, sure), len(self.numbers))
+                needs |= 1 << bit
+                for w in words if sure else words | {w + "?" for w in words & _ALONE}:
+                    self.bits[w] = self.bits.get(w, 0) | 1 << bit
+                    if words is trigger:
+                        self.begins.setdefault(w, []).append(number)
+        return needs
+
+    def _pattern(self, items: list[tuple[frozenset[str], str, bool]], several: bool) -> re.Pattern[str]:
+        """A rule over symbols; ``several``: words are written as ``(symbols of all readings)``."""
         anything = r"\([^)|]*\)" if several else r"[^|]"
-        for category, weight, items in rules:
-            out = []
-            for words, quantifier, name in items:
-                if not words and not name:
-                    out.append({"_": rf"(?:{anything}){{0,3}}?", "__": rf"(?:{anything}){{0,6}}?", "^": r"(?:^|(?<=\|))", "$": r"(?=\||$)"}[quantifier])
-                    continue
-                unsure = () if len(items) == 1 else (w + "?" for w in words & _ALONE)
-                chars = "".join(sorted({self.symbols[w] for w in (*words, *unsure)})) + (_NAME if name else "")
-                piece = rf"\([^)|]*[{chars}][^)|]*\)" if several else f"[{chars}]"
-                if "$" in quantifier:
-                    piece = rf"(?:{piece}|(?=\||$))"
-                out.append({"?": rf"(?:{piece})?", "*": rf"(?:{piece}){{0,3}}", "+": rf"(?:{piece}){{1,3}}"}.get(quantifier[:1], piece))
-            by_weight.setdefault((category, weight), []).append("".join(out))
-        return [(c, w, re.compile("|".join(r))) for (c, w), r in by_weight.items()]
+        gaps = {"_": rf"(?:{anything}){{0,3}}?", "__": rf"(?:{anything}){{0,6}}?", "^": r"(?:^|(?<=\|))", "$": r"(?=\||$)"}
+        out = []
+        for words, quantifier, name in items:
+            if not words and not name:
+                out.append(gaps[quantifier])
+                continue
+            unsure = () if len(items) == 1 else (w + "?" for w in words & _ALONE)
+            chars = "".join(sorted({self.symbols[w] for w in (*words, *unsure)})) + (_NAME if name else "")
+            piece = rf"\([^)|]*[{chars}][^)|]*\)" if several else f"[{chars}]"
+            if "$" in quantifier:
+                piece = rf"(?:{piece}|(?=\||$))"
+            out.append({"?": rf"(?:{piece})?", "*": rf"(?:{piece}){{0,3}}", "+": rf"(?:{piece}){{1,3}}"}.get(quantifier[:1], piece))
+        return re.compile("".join(out))
 
     def _symbol(self, token: str, word: str) -> str:
         symbol = self.symbols.get(word)
@@ -328,26 +372,43 @@ class Judge:
             symbol = _NAME if named else _OTHER
         return symbol
 
-    def _is_plain(self, raw: str) -> bool:
-        """Can a token between blanks neither begin abuse nor be part of a disguise?"""
+    def _brought(self, words: Iterable[str]) -> tuple[int, frozenset[int]]:
+        """The bits words bring and the rules (and phrases, numbered after them) that begin with them."""
+        bits, rules = 0, []
+        for w in words:
+            bits |= self.bits.get(w, 0)
+            rules += self.begins.get(w, ())
+        return bits, frozenset(rules)
+
+    def _raw(self, raw: str) -> tuple[int, frozenset[int]]:
+        """What a token between blanks brings; rule -1 stands for a disguise, which has to be undone first."""
         core = raw.strip(".,;:!?…\"'“”„«»()[]’")
         if len(core) == 1 and core.isalpha() and core not in _LONE:
-            return False  # a letter of a spelled-out word
+            return 0, frozenset([-1])  # a letter of a spelled-out word
         if raw[-1] == "-" or "Ã" in raw or "Â" in raw or _INVISIBLE.search(raw):
-            return False
-        joined = _SPELLED.sub(lambda m: m.group(0).replace(m.group(1), ""), raw)
-        words = [w for t in tokens(joined) if t not in _BOUNDS and t != "," for w in self.reader.read(t)]
-        return self.triggers.isdisjoint(words) and self.phrase_triggers.isdisjoint(words)
+            return 0, frozenset([-1])
+        return self._brought(w for t in tokens(joined_letters(raw)) if t not in _BOUNDS and t != "," for w in self.reader.read(t))
 
     def is_plain(self, text: str) -> bool:
-        """A cheap screen: no token of the text can begin abuse, no matter how it is written."""
-        plain = self.plain
+        """A cheap screen: no rule finds all the words it needs among the text's tokens, however written."""
+        known, plain = self.known, self.plain
+        bits, rules = 0, []
         for raw in set(text.split()) - plain:
-            if not self._is_plain(raw):
-                return False
-            if len(plain) < CACHE_SIZE:
-                plain.add(raw)
-        return True
+            brought = known.get(raw)
+            if brought is None:
+                brought = self._raw(raw)
+                if len(known) + len(plain) < CACHE_SIZE:
+                    if brought[0] or brought[1]:
+                        known[raw] = brought
+                    else:
+                        plain.add(raw)
+            bits |= brought[0]
+            if brought[1]:
+                rules.append(brought[1])
+        if not rules:
+            return True
+        needs = self.needs
+        return not any(i < 0 or needs[i] & bits == needs[i] for own in rules for i in own)
 
     def words(self, passage: str) -> list[str]:
         """The words of a passage as they are read, the first reading of each."""
@@ -357,27 +418,28 @@ class Judge:
         """Scores of the worst reading; a rule takes of each word whichever reading it asks for."""
         found = [t for t in tokens(passage) if t != ","]
         readings = [(t,) if t in _BOUNDS else self.reader.read(t) for t in found]
+        bits, candidates = self._brought(w for r in readings for w in r)
+        candidates = [i for i in candidates if self.needs[i] & bits == self.needs[i]]
+        scores: dict[str, float] = {}
+        if any(i >= len(self.rules) for i in candidates):
+            words = [r[0] for t, r in zip(found, readings) if t not in _BOUNDS]
+            grams = (tuple(words[i : i + n]) for n in PHRASE_WORDS for i in range(len(words) - n + 1))
+            if any(g in self.phrases for g in grams):
+                scores["learned"] = 1.0
+        rules = [self.rules[i] for i in candidates if i < len(self.rules)]
+        if not rules:
+            return scores
         several = any(len(r) > 1 for r in readings)
         spots = [_BOUND if t in _BOUNDS else "".join(self._symbol(t, w) for w in r) for t, r in zip(found, readings)]
         if several:
             spots = [s if s == _BOUND else f"({s})" for s in spots]
-        ends = np.cumsum([len(s) for s in spots]).tolist()
-        joined = "".join(spots)
-        scores: dict[str, float] = {}
-        for category, weight, pattern in self.rules_of_several if several else self.rules:
-            for match in pattern.finditer(joined):
-                if match.end() == match.start():
-                    continue
-                first = next(i for i, e in enumerate(ends) if e > match.start())
-                last = next(i for i, e in enumerate(ends) if e >= match.end())
-                value = weight * self.context(readings, first, last, category)
-                scores[category] = max(scores.get(category, 0.0), value)
-        if self.phrases:
-            words = [r[0] for t, r in zip(found, readings) if t not in _BOUNDS]
-            if not self.phrase_triggers.isdisjoint(words):
-                grams = (tuple(words[i : i + n]) for n in PHRASE_WORDS for i in range(len(words) - n + 1))
-                if any(g in self.phrases for g in grams):
-                    scores["learned"] = 1.0
+        joined, ends = "".join(spots), list(accumulate(len(s) for s in spots))
+        for rule in rules:
+            for match in (rule.pattern_of_several if several else rule.pattern).finditer(joined):
+                if match.end() > match.start():
+                    first, last = bisect_right(ends, match.start()), bisect_left(ends, match.end())
+                    value = rule.weight * self.context(readings, first, last, rule.category)
+                    scores[rule.category] = max(scores.get(rule.category, 0.0), value)
         return scores
 
     def context(self, readings: list[tuple[str, ...]], first: int, last: int, category: str) -> float:
@@ -394,13 +456,13 @@ class Judge:
     def passages(self, text: str) -> Iterator[str]:
         """The passages of a text in which abuse may begin, in each way broken lines can be read."""
         text = clean(text)
-        broken = "- " in text or "-\n" in text or _PAGE_MARK.search(text) is not None
+        broken = may_be_broken(text)
         if not broken and self.is_plain(text):
             return
         for joint in ("", " ") if broken and (_BREAK_PAGE.search(text) or _BREAK_LINE.search(text)) else ("",):
-            for passage in _PASSAGE.split(unbroken(text, joint)):
+            for passage in passages(text, joint):
                 if passage and not self.is_plain(passage):
-                    yield passage
+                    yield joined_letters(passage)
 
     def score(self, text: str | None) -> list[float]:
         """One score per category, in the order of ``CATEGORIES``."""
@@ -469,8 +531,8 @@ def _phrases_of(vocabularies: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBa
                 if not text or rating >= 0.5 and max(judge.score(text)) >= THRESHOLD:
                     continue
                 own: set[str] = set()
-                for passage in _PASSAGE.split(unbroken(clean(text), "")):
-                    words = judge.words(passage)
+                for passage in passages(clean(text)):
+                    words = judge.words(joined_letters(passage))
                     own.update(" ".join(words[i : i + n]) for n in PHRASE_WORDS for i in range(len(words) - n + 1))
                 for phrase in own:
                     entry = found.setdefault(phrase, [0.0, 0.0])
