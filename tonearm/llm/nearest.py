@@ -2,12 +2,14 @@
 
 Method. Equal vectors are one point. Each point gets its place on several
 Hilbert curves, each over another projection and shift. The points of all curves
-are range-partitioned by (curve, place) in Spark; every point meets its
-``window`` neighbours on either side, distances are exact, and each curve hands
-on the k best. Windows cut by a partition boundary are completed from the rows
-at both sides of it. The curves' lists are then merged, repeats removed, and
-ranked again. Work is linear in the points; a crowd of equal vectors costs one
-point, whatever its size.
+are range-partitioned by (curve, place) in Spark, at bounds taken from a sample of
+the points, so places are computed once; every point meets its ``window``
+neighbours on either side, distances are exact, and each curve hands on the k best.
+The curves' lists are then merged, repeats removed, and ranked again. Work is
+linear in the points; a crowd of equal vectors costs one point, whatever its size.
+
+A window ends with its partition: of ``PART_ROWS`` rows the ``window`` first and last
+meet fewer neighbours on that curve, and all of theirs on the others.
 """
 
 from __future__ import annotations
@@ -15,9 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.internal import InternalFunction
@@ -26,9 +26,10 @@ from tonearm.llm.hilbert import Orderings
 from tonearm.operators.skew import attach
 from tonearm.session import durable, shuffle_partitions
 
-_PLACED = "curve int, place bigint, point bigint, x array<double>"
+#: Points of a partition of a curve, and points of the sample for each bound between partitions.
+PART_ROWS, SAMPLE_ROWS = 50_000, 200
+_PLACED = "part int, curve int, place bigint, point bigint, x array<double>"
 _LISTS = "point bigint, near array<struct<d:double,id:bigint>>"
-_EDGES = "seam int, side int, curve int, place bigint, point bigint, x array<double>"
 _LIST_TYPE = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
 
 
@@ -43,22 +44,37 @@ def _rows(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(x.reshape(-1)))
 
 
-def _place(orderings: Orderings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _place(orderings: Orderings, bounds: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every point once per curve, with its place and the number of its partition."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("x"))
-            for k in range(len(orderings.maps)):
-                curve = pa.array(np.full(len(x), k, np.int32))
-                place = pa.array(orderings.keys(k, x))
+            for k, own in enumerate(bounds):
+                place = orderings.keys(k, x)
+                part = k * (len(own) + 1) + np.searchsorted(own, place, side="right")
+                curve = np.full(len(x), k, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [curve, place, batch.column("point"), batch.column("x")], names=["curve", "place", "point", "x"]
+                    [pa.array(part.astype(np.int32)), pa.array(curve), pa.array(place), batch.column("point"), batch.column("x")],
+                    names=["part", "curve", "place", "point", "x"],
                 )
 
     return run
 
 
+def _bounds(points: DataFrame, orderings: Orderings, total: int) -> list[np.ndarray]:
+    """For each curve the places at which partitions of about ``PART_ROWS`` points end, from a sample of ``SAMPLE_ROWS`` a partition."""
+    parts = max(1, -(-total // PART_ROWS))
+    if parts == 1:
+        return [np.zeros(0, np.int64) for _ in orderings.maps]
+    sample = points.select("x").sample(min(1.0, parts * SAMPLE_ROWS / total), 13).toArrow()
+    x = _matrix(sample.column("x"))
+    marks = np.arange(1, parts) * len(x) // parts
+    return [np.sort(orderings.keys(k, x))[marks] for k in range(len(orderings.maps))]
+
+
 def best_in_window(
     x: np.ndarray, ids: np.ndarray, curve: np.ndarray, low: int, high: int, window: int, k: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -66,18 +82,24 @@ def best_in_window(
 
     Unfilled places hold an infinite distance. Nearer first, then the smaller id.
     """
-    n = len(x)
-    centre = np.arange(low, high)
+    start, end = max(0, low - window), min(len(x), high + window)
+    x, ids, curve, shift = x[start:end], ids[start:end], curve[start:end], low - start
+    rows = high - low
+    d = np.full((end - start, 2 * window), np.inf)
+    columns = [np.ascontiguousarray(x[:, c]) for c in range(x.shape[1])]
+    several = curve[0] != curve[-1]
+    for s in range(1, min(window, end - start - 1) + 1):  # each distance serves both of its rows
+        apart = np.zeros(end - start - s)
+        for c in columns:
+            diff = c[s:] - c[:-s]
+            apart += diff * diff
+        if several:
+            apart[curve[s:] != curve[:-s]] = np.inf
+        d[:-s, window + s - 1] = apart
+        d[s:, window - s] = apart
+    d = d[shift : shift + rows]
     steps = np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
-    at = centre[:, None] + steps[None, :]
-    inside = (at >= 0) & (at < n)
-    at = np.clip(at, 0, n - 1)
-    d = np.zeros(at.shape)
-    for c in range(x.shape[1]):
-        diff = x[:, c][at] - x[centre, c][:, None]
-        d += diff * diff
-    d[~inside | (curve[at] != curve[centre][:, None])] = np.inf
-    near = ids[at]
+    near = ids[np.clip(np.arange(shift, shift + rows)[:, None] + steps[None, :], 0, end - start - 1)]
     if d.shape[1] > k:
         bound = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
         crowded = (d <= bound).sum(1) > k  # ties at the bound need the ids too
@@ -122,51 +144,6 @@ def _windows(window: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _edges(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The first and last ``window`` rows of a partition, for the seams before and after it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        head: list[pa.RecordBatch] = []
-        tail: list[pa.RecordBatch] = []
-        begun = 0
-        for batch in batches:
-            if begun < window:
-                head.append(batch.slice(0, window - begun))
-                begun += head[-1].num_rows
-            tail.append(batch)
-            while sum(b.num_rows for b in tail[1:]) >= window:
-                tail.pop(0)
-        if not tail:
-            return
-        last = pa.Table.from_batches(tail)
-        last = last.slice(max(0, last.num_rows - window))
-        for seam, side, rows in ((part, 1, pa.Table.from_batches(head)), (part + 1, 0, last)):
-            for b in rows.combine_chunks().to_batches():
-                flags = [pa.array(np.full(b.num_rows, v, np.int32)) for v in (seam, side)]
-                names = ["seam", "side", "curve", "place", "point", "x"]
-                yield pa.RecordBatch.from_arrays([*flags, *(b.column(c) for c in names[2:])], names=names)
-
-    return run
-
-
-def _seam(window: int, k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Windows over one partition boundary: at most ``2 * window`` rows."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["side", "place", "point"], kind="stable")
-        if pdf["side"].nunique() < 2:
-            return pd.DataFrame({"point": pd.Series(dtype="int64"), "near": pd.Series(dtype=object)})
-        x = np.stack(pdf["x"].to_numpy())
-        d, near = best_in_window(
-            x, pdf["point"].to_numpy(), pdf["curve"].to_numpy(), 0, len(x), window, k
-        )
-        lists = [[{"d": a, "id": int(b)} for a, b in zip(*row) if np.isfinite(a)] for row in zip(d, near)]
-        return pd.DataFrame({"point": pdf["point"].to_numpy(), "near": lists})
-
-    return run
-
-
 def smallest(entry: Column, n: int) -> Column:
     """Aggregate: the ``n`` smallest values, by Spark's mergeable bounded heap."""
     return InternalFunction.collect_top_k(entry, n, True)
@@ -176,19 +153,18 @@ def nearest_points(points: DataFrame, k: int, curves: int, window: int) -> DataF
     """``(point, near)`` for distinct points ``(point, x)``: up to k ``(squared distance, point)``, best first."""
     spark = points.sparkSession
     norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    shape = points.agg(F.max(norm).alias("r"), F.max(F.size("x")).alias("w")).first()
+    shape = points.agg(F.max(norm).alias("r"), F.max(F.size("x")).alias("w"), F.count("*").alias("n")).first()
     orderings = Orderings(shape["w"] or 1, curves, float(np.sqrt(shape["r"] or 0.0)))
-    placed = points.select("point", "x").mapInArrow(_place(orderings), _PLACED)
-    order = ["curve", "place", "point"]
-    ranged = placed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    inner = ranged.mapInArrow(_windows(window, k), _LISTS)
-    seams = ranged.mapInArrow(_edges(window), _EDGES).groupBy("seam", "curve").applyInPandas(_seam(window, k), _LISTS)
-    lists = inner.unionByName(seams).groupBy("point").agg(F.flatten(F.collect_list("near")).alias("near"))
+    bounds = _bounds(points, orderings, shape["n"])
+    placed = points.select("point", "x").mapInArrow(_place(orderings, bounds), _PLACED)
+    ranged = placed.repartitionById(curves * (len(bounds[0]) + 1), F.col("part")).sortWithinPartitions("place", "point")
+    lists = ranged.select("curve", "point", "x").mapInArrow(_windows(window, k), _LISTS)
+    lists = lists.groupBy("point").agg(F.flatten(F.collect_list("near")).alias("near"))
     return lists.select("point", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
 
 
 def nearest_pairs(
-    df: DataFrame, ident: str, values: list[str], k: int = 5, curves: int = 12, window: int = 40
+    df: DataFrame, ident: str, values: list[str], k: int = 5, curves: int = 8, window: int = 64
 ) -> DataFrame:
     """``(a, b, d)``: every pair of rows of which one is among the other's k nearest; ``a < b``.
 
