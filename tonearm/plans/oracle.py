@@ -112,8 +112,9 @@ ORACLE["cosine_distance"] = f"""WITH {_TOP_POINT} SELECT s.track_id, round({_d_g
 ORACLE["hybrid_topn"] = f"""WITH {_TOP_POINT} SELECT track_id, artist_name, round(d, 6) + 0.0 AS d FROM (
     SELECT s.track_id, s.artist_name, round(sqrt({_d_audio('s', 'q')} ^ 2 + ({_d_genre('s', 'q')} * 2.0) ^ 2), 9) AS d
     FROM serving s CROSS JOIN point q) ORDER BY d, track_id LIMIT 400"""
-_HALF = """CASE WHEN isfinite({0}) AND abs({0}) BETWEEN 0.001 AND 60000 THEN
-  sign({0}) * round_even(abs({0}) / pow(2.0, floor(log2(abs({0}))) - 10), 0) * pow(2.0, floor(log2(abs({0}))) - 10) END AS {0}"""
+_STEP = "pow(2.0, greatest(floor(log2(abs({0}))), -14) - 10)"
+_HALF = f"""CASE WHEN NOT isfinite({{0}}) THEN NULL WHEN {{0}} = 0 THEN 0.0 WHEN abs({{0}}) >= 65520 THEN sign({{0}}) * 'inf'::DOUBLE
+  ELSE sign({{0}}) * round_even(abs({{0}}) / {_STEP}, 0) * {_STEP} END AS {{0}}"""
 ORACLE["quantized_features"] = f"SELECT row_id, {_HALF.format('danceability')}, {_HALF.format('tempo')} FROM data_tracks"
 
 # ---- directory ------------------------------------------------------------------------------------------------------
