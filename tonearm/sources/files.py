@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import csv
 import io
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonearm.functions.text import id_from_url, strip
 from tonearm.schema import RAW
+from tonearm.session import shared_dir
 
 #: Anything that yields a table when asked.
 Source = Callable[[SparkSession], DataFrame]
@@ -105,7 +108,7 @@ def write_parquet(df: DataFrame, path: str, level: int = 9, partition_by: tuple[
 def read_half_precision(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file whose half-precision columns Spark cannot read, by way of Arrow; they become float.
 
-    Row groups are read one at a time on the driver: an import of old files, not a scan.
+    Row groups pass through the driver one at a time into the shared folder: an import of old files, not a scan.
     """
     import pyarrow as pa
     import pyarrow.parquet as pq
@@ -116,11 +119,11 @@ def read_half_precision(spark: SparkSession, path: str) -> DataFrame:
         return table.cast(pa.schema(fields))
 
     file = pq.ParquetFile(path)
-    parts = [spark.createDataFrame(widened(file.read_row_group(i))) for i in range(file.num_row_groups)]
-    out = parts[0] if parts else spark.createDataFrame(widened(file.read()))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    folder = f"{shared_dir(spark)}/import-{uuid.uuid4().hex}"
+    empty = spark.createDataFrame(widened(file.schema_arrow.empty_table()))
+    for i in range(file.num_row_groups):
+        spark.createDataFrame(widened(file.read_row_group(i))).write.mode("append").parquet(folder)
+    return spark.read.schema(empty.schema).parquet(folder) if file.num_row_groups else empty
 
 
 def read_ids(spark: SparkSession, path: str, host: str) -> DataFrame:
@@ -131,7 +134,19 @@ def read_ids(spark: SparkSession, path: str, host: str) -> DataFrame:
     )
 
 
-#: Landed records of the track and feature services (fixed format).
+def arrival_order() -> Column:
+    """Where a row of line-based files stands in order of arrival: time and path of its file, place in the file.
+
+    Within a part of a file ids are given in the order of its lines, whatever else its task reads.
+    """
+    m = F.col("_metadata")
+    return F.struct(
+        m["file_modification_time"].alias("time"), m["file_path"].alias("path"), m["file_block_start"].alias("part"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
+#: Landed records of the track, feature and artist services (fixed format).
 TRACK_RECORD = (
     "href string, trackTitle string, popularity double, durationMs double, artists array<struct<id:string,name:string>>"
 )
@@ -139,12 +154,13 @@ FEATURE_RECORD = (
     "href string, danceability double, energy double, key double, loudness double, mode double, speechiness double, "
     "acousticness double, instrumentalness double, liveness double, valence double, tempo double, time_signature double"
 )
+ARTIST_RECORD = "name string, genres array<string>"
 
 
 def read_landed(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """Records of landed JSON pages, ``{"content": [...]}`` one page per line, with ``ord``, their order."""
+    """Records of landed JSON pages, ``{"content": [...]}`` one page per line, with ``ord``, their order of arrival."""
     page = "content array<struct<" + ", ".join(":".join(f.split(" ", 1)) for f in record.split(", ")) + ">>"
-    pages = spark.read.schema(page).json(path).withColumn("page", F.monotonically_increasing_id())
+    pages = spark.read.schema(page).json(path).withColumn("page", arrival_order())
     rows = pages.select("page", F.posexplode("content").alias("pos", "r"))
     return rows.select("r.*", F.struct("page", "pos").alias("ord"))
 
@@ -155,6 +171,19 @@ def first_resolving(candidates: DataFrame, resolved: DataFrame, group: str, orde
     return hits.groupBy(group).agg(F.min_by(value, order).alias(value))
 
 
+def artist_pages(tracks: DataFrame, artist: str, order: str, limit: int, page: int = 50) -> DataFrame:
+    """The records that fetching whole pages brings of each artist, in ``order``: enough for its most popular ``limit``."""
+    place = F.row_number().over(W.partitionBy(artist).orderBy(order))
+    return tracks.withColumn("place", place).filter(F.col("place") <= pages_to_fetch(limit, page)).drop("place")
+
+
+def genres_of_artists(artists: DataFrame) -> DataFrame:
+    """``(artist_name, genre, style)`` of landed artist records: the first two genres named, the earliest record winning."""
+    named = artists.filter("name is not null and size(genres) > 0")
+    first = named.groupBy(F.col("name").alias("artist_name")).agg(F.min_by("genres", "ord").alias("g"))
+    return first.select("artist_name", F.try_element_at("g", F.lit(1)).alias("genre"), F.try_element_at("g", F.lit(2)).alias("style"))
+
+
 def in_batches(ordinal: Column, size: int = 50) -> Column:
     """The number of the request batch an item falls into."""
     return F.floor((ordinal - 1) / size).cast("int")
