@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.operators import clean, directory, ingest, reports, seeds, taxonomy
+from tonearm.operators import clean, directory, ingest, reports, seeds, skew, taxonomy
 from tonearm.operators.impute import Field, fill_category, fill_numbers
 from tonearm.operators.skew import attach
 from tonearm.plans.encode import encode
@@ -194,3 +194,32 @@ def test_encode_keeps_stage_order(spark):
     assert set(r.track_id for r in encode(df, member, keep_remixes=True, min_songs=1, max_songs=1).collect()) == {"3", "4"}
     with pytest.raises(ValueError):
         encode(df.drop("popularity"), member)
+
+
+def test_skewed_keys_give_the_same_rows_whichever_way_they_join(spark, monkeypatch):
+    rows = [(i, i % 2, f"a{i % 3}" if i % 7 else None, f"Song {i % 5}", None if i % 4 == 0 else "hot" if i % 2 else f"t{i % 11}", f"g{i % 4}") for i in range(300)]
+    df = spark.createDataFrame(rows, "ident int, source_ord int, artist_name string, track_name string, track_id string, genre string")
+    main = spark.createDataFrame([("t3",), (None,)], "track_id string")
+    updates = spark.createDataFrame([("a1", "x", 1), ("a1", "y", 2), (None, "z", 3)], "artist_name string, genre string, n int")
+
+    def run():
+        removed = sorted((r.source_ord, r.ident, r.reason) for r in ingest.removal_reasons(df, main, "ident").collect())
+        sizes = sorted(r.ident for r in clean.with_group_size(df, "artist_name", 90).collect())
+        genres = sorted((r.ident, r.genre, r.old_genre) for r in ingest.update_genres(df, updates, "n").collect())
+        return removed, sizes, genres
+
+    seen_ids, seen_names, want = {"t3"}, set(), []
+    for i, source, artist, title, track, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        reason = None
+        if track in seen_ids:
+            reason = "duplicate track_id"
+        elif (artist, title.lower()) in seen_names:
+            reason = "similar name"
+        if track not in seen_ids:
+            seen_names.add((artist, title.lower()))
+        seen_ids.add(track)
+        want.append((source, i, reason))
+    heavy = run()
+    monkeypatch.setattr(skew, "HEAVY", 2)  # no key is heavy
+    assert run() == heavy and heavy[0] == sorted(want)
+    assert heavy[1] == sorted(i for i, _, a, *_ in rows if a and sum(r[2] == a for r in rows) >= 90)

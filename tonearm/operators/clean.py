@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.missing import number_or_null
 from tonearm.functions.text import is_remix
+from tonearm.operators.skew import attach
 
 INDEX_COLUMN = "Unnamed: 0"
 LARGEST = 1.7976931348623157e308
@@ -93,9 +94,10 @@ def fill_and_scale(df: DataFrame, columns: Sequence[str], defaults: Mapping[str,
 
 
 def with_group_size(df: DataFrame, group: str, least: int) -> DataFrame:
-    """Rows of groups of at least ``least`` rows; null groups are dropped. Sizes are pre-aggregated and joined."""
+    """Rows of groups of at least ``least`` rows; null groups are dropped. Sizes are pre-aggregated and attached, so a large group is no one task."""
     big = df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("group_size")).filter(F.col("group_size") >= least)
-    return df.join(big.select(group), group, "left_semi")
+    out = attach(df.withColumn("row_hash", F.xxhash64(*df.columns)), big, group, "group_size", df.count(), "row_hash")
+    return out.filter("group_size is not null").drop("group_size", "row_hash")
 
 
 def top_per_group(df: DataFrame, group: str, n: int, order: Sequence[Column]) -> DataFrame:

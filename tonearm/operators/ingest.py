@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.text import known_or_unknown, normalized_title, strip
 from tonearm.operators.clean import ranked_repeats
+from tonearm.operators.skew import attach
 from tonearm.schema import RAW_COLUMNS
 
 #: Features a landed audio record supplies (fixed list).
@@ -96,14 +97,23 @@ def removal_reasons(combined: DataFrame, main: DataFrame, ident: str = "row_ord"
     equal). ``similar name``: among the rows left, the normalised title is on an
     earlier row of the artist. Earlier is by (source_ord, ``ident``).
     """
-    order = [F.col("source_ord"), F.col(ident)]
+    order = F.struct("source_ord", ident)
+    total = combined.count()
     known = main.select("track_id").filter("track_id is not null").distinct().withColumn("in_main", F.lit(True))
-    rows = ranked_repeats(combined, ["track_id"], order).withColumnRenamed("repeat", "id_repeat").join(known, "track_id", "left")
-    by_id = F.coalesce("in_main", F.lit(False)) | (F.col("id_repeat") > 1)
-    rows = rows.withColumn("by_id", by_id).withColumn("normalized", normalized_title(F.col("track_name")))
-    rows = ranked_repeats(rows, ["artist_name", "normalized", "by_id"], order)
-    reason = F.when(F.col("by_id"), "duplicate track_id").when(F.col("repeat") > 1, "similar name")
-    return rows.withColumn("reason", reason).drop("repeat", "id_repeat", "in_main", "by_id", "normalized")
+    firsts = combined.groupBy("track_id").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    # sizes first, so that an id, or no id, on a third of the rows is neither a window nor a shuffle key
+    ids = firsts.filter("track_id is not null").join(known, "track_id", "left")
+    rows = attach(combined, ids, "track_id", "size", total, ident)
+    nameless = firsts.filter("track_id is null").agg(F.min("first").alias("null_first"))
+    rows = rows.join(F.broadcast(nameless))  # one row
+    by_id = F.coalesce("in_main", F.lit(False)) | (order > F.coalesce("first", "null_first"))
+    rows = rows.withColumn("by_id", by_id).drop("first", "size", "in_main", "null_first")
+    name = F.concat(F.coalesce(F.concat(F.lit("="), "artist_name"), F.lit("")), F.lit("\0"), normalized_title(F.col("track_name")))
+    rows = rows.withColumn("name_key", F.when(~F.col("by_id"), name))
+    titles = rows.filter("name_key is not null").groupBy("name_key").agg(F.min(order).alias("first"), F.count("*").alias("size"))
+    rows = attach(rows, titles, "name_key", "size", total, ident)
+    reason = F.when(F.col("by_id"), "duplicate track_id").when(order > F.col("first"), "similar name")
+    return rows.withColumn("reason", reason).drop("by_id", "name_key", "first", "size")
 
 
 def override_artists(store: DataFrame, artists: DataFrame) -> DataFrame:
@@ -129,7 +139,8 @@ def merge(added: DataFrame, new: DataFrame, main: DataFrame, mode: str = "defaul
 
 def update_genres(store: DataFrame, updates: DataFrame, order: str) -> DataFrame:
     """The store with ``genre`` replaced and ``old_genre``; of several updates of an artist the last (by ``order``) wins."""
-    last = ranked_repeats(updates, ["artist_name"], [F.col(order).desc()]).filter("repeat = 1")
-    last = last.select("artist_name", F.col("genre").alias("new_genre"))
-    out = store.join(last, "artist_name", "left")
-    return out.withColumn("old_genre", F.col("genre")).withColumn("genre", F.coalesce("new_genre", "genre"))
+    last = updates.filter("artist_name is not null").groupBy("artist_name").agg(F.max_by("genre", order).alias("new_genre"))
+    sizes = store.groupBy("artist_name").agg(F.count("*").alias("size"))
+    out = attach(store.withColumn("row_hash", F.xxhash64(*store.columns)), last.join(sizes, "artist_name"), "artist_name", "size", store.count(), "row_hash")
+    out = out.withColumn("old_genre", F.col("genre")).withColumn("genre", F.coalesce("new_genre", "genre"))
+    return out.drop("row_hash", "new_genre", "size")

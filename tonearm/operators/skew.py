@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds at least this share of the rows, so at most
-#: ``1 / HEAVY`` keys are heavy: that bounds what is broadcast.
-HEAVY = 1 / 5_000
+#: ``1 / HEAVY`` keys are heavy, and of smaller tables at most ``SMALL``: that bounds what is broadcast.
+HEAVY, SMALL = 1 / 5_000, 10_000
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, size: str, total: int, spread: str) -> DataFrame:
     """Left outer join of ``left`` to ``right``, which has one row per ``key``.
 
     ``size`` is a column of ``right``: how many of the ``total`` rows its key
-    holds. Heavy keys, at most 5,000 by construction, are broadcast; their rows
+    holds. Heavy keys are broadcast: at most 5,000 of a table of ``SMALL`` rows or
+    more, and all keys of a smaller one, which has fewer than ``SMALL``; their rows
     never move by key. All other keys join by a shuffle in which the rows of
     heavy and null keys are scattered by a hash of ``spread``, so no task gets
     more than its share. Null keys match nothing. ``right`` should be cheap to

@@ -17,6 +17,7 @@ from tonearm.operators.clean import (
 )
 from tonearm.operators.taxonomy import with_genre_vectors
 from tonearm.schema import DEFAULTS, ENCODED_FEATURES, META, SCALED
+from tonearm.session import durable
 
 
 def encode(
@@ -42,6 +43,8 @@ def encode(
     if not keep_remixes and "track_name" in rows.columns:
         rows = without_remixes(rows)
     scaled = [c for c in SCALED if c in rows.columns]
+    # what is read again for statistics, group sizes and genres, written once
+    rows = durable(rows.select(*[c for c in META if c in rows.columns], *scaled, "source_ord", "row_ord"))
     rows = fill_and_scale(finite(rows, scaled), scaled, {k: v for k, v in DEFAULTS.items() if k in scaled})
     rows = with_group_size(rows, "artist_name", min_songs)
     rows = top_per_group(rows, "artist_name", max_songs, [F.round("popularity", 9).desc(), *ranks])
