@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.functions.missing import number_or_null
 from tonearm.functions.text import is_remix
@@ -24,6 +25,12 @@ def conform(df: DataFrame, columns: Mapping[str, str], extra: Sequence[str] = ()
     )
 
 
+def columns_of_kind(df: DataFrame, kind: str) -> list[str]:
+    """Names of the columns of a class of types: ``number``, ``string`` or ``other``, in order."""
+    kinds = {c.name: "number" if isinstance(c.dataType, T.NumericType) else "string" if isinstance(c.dataType, T.StringType) else "other" for c in df.schema}
+    return [c for c, k in kinds.items() if k == kind]
+
+
 def union_in_order(*parts: DataFrame, order: str) -> DataFrame:
     """``UNION ALL`` by name with ``source_ord``, the part's number; ``order`` ranks rows within a part."""
     tagged = [p.drop(INDEX_COLUMN).withColumn("source_ord", F.lit(i)).withColumn("row_ord", F.col(order)) for i, p in enumerate(parts)]

@@ -38,6 +38,14 @@ def unique_tracks(tracks: DataFrame) -> DataFrame:
     return named.groupBy("artist_name", "track_name").agg(F.min("track_id").alias("track_id"))
 
 
+def selected_tracks(selections: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``selections`` (any columns, with artist_name and track_name) with ``track_id``, the smallest of the artist's tracks of that name.
+
+    Selections of unknown tracks, or without a name, have no id.
+    """
+    return selections.join(unique_tracks(tracks), ["artist_name", "track_name"], "left")
+
+
 def artist_tracks(tracks: DataFrame, artist: str) -> DataFrame:
     """One artist's titles; a ``LookupError`` if there is no such artist."""
     own = unique_tracks(tracks.filter(F.col("artist_name") == artist)).select("track_id", "track_name")

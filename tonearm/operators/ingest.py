@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.text import known_or_unknown, normalized_title, strip
 from tonearm.operators.clean import ranked_repeats
+from tonearm.operators.reports import preview
 from tonearm.operators.skew import attach
 from tonearm.schema import RAW_COLUMNS
 
@@ -137,6 +138,14 @@ def merge(added: DataFrame, new: DataFrame, main: DataFrame, mode: str = "defaul
     return removal_reasons(both, main, ident)
 
 
+def dry_run(added: DataFrame, new: DataFrame, main: DataFrame, mode: str = "default", ident: str = "added_id", n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What ``merge`` would do, without writing: the first ``n`` rows it would add, and how many rows fall out for which reason."""
+    merged = merge(added, new, main, mode, ident)
+    kept = merged.filter("source_ord = 1 and reason is null")
+    out = merged.groupBy("source_ord", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
+    return preview(kept, n, ident), out
+
+
 def update_genres(store: DataFrame, updates: DataFrame, order: str) -> DataFrame:
     """The store with ``genre`` replaced and ``old_genre``; of several updates of an artist the last (by ``order``) wins."""
     last = updates.filter("artist_name is not null").groupBy("artist_name").agg(F.max_by("genre", order).alias("new_genre"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,6 +37,16 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).filter(F.col(column).isNotNull()).distinct()
 
 
+def sorted_values(df: DataFrame, column: str) -> DataFrame:
+    """``(rank, column)``: distinct values in order, numbered; for a report of few values, such as genres."""
+    return distinct_values(df, column).withColumn("rank", F.row_number().over(W.orderBy(column)).cast("int"))
+
+
+def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows by ``order``, to be looked at."""
+    return df.orderBy(*order).limit(n)
+
+
 def inverted(membership: DataFrame) -> DataFrame:
     """``(family, genres, total_weight)``: the taxonomy seen from its families."""
     rows = membership.filter("family is not null")

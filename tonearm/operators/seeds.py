@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tonearm.schema import CURVE
+from tonearm.schema import CURVE, GENRE_WEIGHT, GENRE_WEIGHT_STEP, MOST_ARTISTS, MOST_SONGS, RESULTS, VARIETY
 
-#: Requests answered at once: they are a stated list, and what is derived from them is broadcast.
-MAX_REQUESTS = 100_000
+#: Requests, and names in all of them, up to which what is derived from requests is broadcast; more are joined.
+MAX_REQUESTS, MAX_NAMES = 100_000, 1_000_000
 
 
-def checked(requests: DataFrame) -> DataFrame:
-    """``requests``, after making sure that there are few enough to broadcast."""
-    if requests.limit(MAX_REQUESTS + 1).count() > MAX_REQUESTS:
-        raise ValueError(f"at most {MAX_REQUESTS} requests at once")
-    return requests
+def hint_for(requests: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``broadcast`` if the requests and the lists in them are few enough, else nothing."""
+    names = F.greatest(F.size("artists"), F.lit(0)) + F.greatest(F.size("track_ids"), F.lit(0))
+    size = requests.agg(F.count("*").alias("rows"), F.coalesce(F.sum(names), F.lit(0)).alias("names")).first()
+    return F.broadcast if size["rows"] <= MAX_REQUESTS and size["names"] <= MAX_NAMES else lambda df: df
+
+
+def client_problems(requests: DataFrame, tracks: DataFrame) -> DataFrame:
+    """``(request_id, problem)``: each limit of the client a request exceeds; a request within all limits has no row.
+
+    Songs are counted by artist, through the tracks they name; repeated names count once.
+    """
+    def beyond(column: str, low: float, high: float) -> Column:
+        return ~F.coalesce(F.col(column).between(low, high), F.lit(False))
+
+    step = F.col("genre_weight") / GENRE_WEIGHT_STEP
+    found = {
+        "artists": F.size(F.array_distinct(F.coalesce("artists", F.array()))) > MOST_ARTISTS,
+        "variety": beyond("diversity", *VARIETY),
+        "genre weight": beyond("genre_weight", *GENRE_WEIGHT) | (step != F.round(step)),
+        "results": beyond("max_artists", *RESULTS),
+    }
+    problems = F.array_compact(F.array(*[F.when(p, F.lit(name)) for name, p in found.items()]))
+    plain = requests.select("request_id", F.explode(problems).alias("problem"))
+    asked = requests.select("request_id", F.explode(F.array_distinct("track_ids")).alias("track_id")).filter("track_id is not null")
+    artists = tracks.filter("artist_name is not null").groupBy("track_id").agg(F.min("artist_name").alias("artist_name"))
+    songs = hint_for(requests)(asked).join(artists, "track_id").groupBy("request_id", "artist_name").count()
+    many = songs.filter(F.col("count") > MOST_SONGS).select("request_id", F.lit("songs").alias("problem")).distinct()
+    return plain.unionByName(many)
 
 
 def sample_size(n: Column) -> Column:
@@ -45,14 +69,14 @@ def representative_vectors(tracks: DataFrame, requests: DataFrame, features: Seq
 
     An artist is the mean of its sample. Artists named twice count twice; unknown
     artists and tracks, and requests left with neither, are dropped. ``tracks`` has
-    one row per track; it is not shuffled by track, as the requests are broadcast.
+    one row per track; it is not shuffled by track if the requests are few enough to broadcast.
     """
-    checked(requests)
+    small = hint_for(requests)
     asked = requests.select("request_id", F.explode("artists").alias("artist_name")).filter("artist_name is not null")
     wanted = asked.select("artist_name").distinct()
-    samples = artist_samples(tracks.join(F.broadcast(wanted), "artist_name", "left_semi"))
+    samples = artist_samples(tracks.join(small(wanted), "artist_name", "left_semi"))
     means = samples.groupBy("artist_name").agg(*[F.avg(c).alias(c) for c in features])
     entities = asked.join(means, "artist_name").select("request_id", *features)
     named = requests.select("request_id", F.explode("track_ids").alias("track_id"))
-    entities = entities.unionByName(tracks.join(F.broadcast(named), "track_id").select("request_id", *features))
+    entities = entities.unionByName(tracks.join(small(named), "track_id").select("request_id", *features))
     return entities.groupBy("request_id").agg(F.count("*").alias("entities"), *[F.avg(c).alias(c) for c in features])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tonearm.functions.vector import cosine, euclidean, hybrid
 from tonearm.operators.clean import LARGEST, keep_first
 from tonearm.operators.directory import artist_directory, valid_artists
-from tonearm.operators.seeds import checked, representative_vectors
+from tonearm.operators.seeds import hint_for, representative_vectors
 from tonearm.schema import (
     CANDIDATES_PER_DIVERSITY,
     FEATURE_WEIGHTS,
@@ -145,19 +145,19 @@ def recommend_all(tracks: DataFrame, requests: DataFrame, seed: int = 0) -> Data
     needs two candidates.
     """
     audio, genre = audio_columns(tracks), genre_columns(tracks)
-    checked(requests)
+    small = hint_for(requests)
     wanted = requests.select(F.explode("artists").alias("artist_name")).distinct()
-    named = tracks.select("artist_name").join(F.broadcast(wanted), "artist_name", "left_semi").distinct()
+    named = tracks.select("artist_name").join(small(wanted), "artist_name", "left_semi").distinct()
     seeds = durable(valid_artists(requests, named))  # read three times below, and as small as the requests
     known = requests.join(seeds.select("request_id").distinct(), "request_id", "left_semi")
     settings = known.select("request_id", "diversity", "max_artists", "genre_weight")
     vectors = representative_vectors(tracks, known, [*audio, *genre]).join(settings, "request_id")
     near = nearest_tracks(tracks, vectors)
-    near = near.join(F.broadcast(settings.select("request_id", "diversity", "max_artists")), "request_id")
+    near = near.join(small(settings.select("request_id", "diversity", "max_artists")), "request_id")
     of = F.count("*").over(W.partitionBy("request_id"))
     place = F.when(F.col("diversity") > 1, permuted_place(seed)).otherwise(F.col("place"))
     pool = near.select("request_id", *NAMES, "max_artists", (of + 1 - place).alias("score"))
-    pool = pool.join(F.broadcast(seeds.select("request_id", "artist_name")), ["request_id", "artist_name"], "left_anti")
+    pool = pool.join(small(seeds.select("request_id", "artist_name")), ["request_id", "artist_name"], "left_anti")
     pool = durable(pool)  # 200 x diversity rows a request, read twice
     artists = pool.groupBy("request_id", "artist_name", "max_artists").agg(
         F.sum("score").alias("total"), F.count("track_id").alias("tracks")

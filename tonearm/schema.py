@@ -44,6 +44,12 @@ CURVE = ((5, 5), (20, 12), (50, 25), (80, 30))
 CANDIDATES_PER_DIVERSITY, TRACKS_PER_ARTIST, LEAST_TRACKS = 200, 4, 2
 
 
+#: What a client lets a listener ask for (fixed values): at most so many artists, and songs of each of them; variety,
+#: genre weight with its step, and results, from and to.
+MOST_ARTISTS, MOST_SONGS = 5, 3
+VARIETY, GENRE_WEIGHT, GENRE_WEIGHT_STEP, RESULTS = (1, 3), (0.0, 5.0), 0.5, (3, 12)
+
+
 @dataclass(frozen=True)
 class Request:
     """One recommendation request; defaults as in the API (fixed values)."""

@@ -7,7 +7,6 @@ import io
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -82,11 +81,36 @@ def read_csv_zip(spark: SparkSession, path: str, schema: T.StructType = RAW) ->
     return _typed(files.mapInPandas(_unzipped(header), text), schema)
 
 
+class _Upload(io.RawIOBase):
+    """Bytes to a file of any file system Spark can write to."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self._stream.write(bytearray(data))
+        return len(data)
+
+    def close(self) -> None:
+        if not self.closed:
+            self._stream.close()
+        super().close()
+
+
 def write_csv_zip(df: DataFrame, path: str, member: str = "tracks.csv") -> None:
-    """A zip archive with one CSV member, written whole. Rows stream through the driver, never all at once."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive, archive.open(member, "w") as raw:
+    """A zip archive with one CSV member, written whole, where all executors can read it.
+
+    One archive is one stream, so rows pass through the driver, never all at once.
+    """
+    with (
+        io.BufferedWriter(_Upload(df.sparkSession, path), 1 << 20) as target,
+        zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive,
+        archive.open(member, "w") as raw,
+    ):
         text = io.TextIOWrapper(raw, "utf-8", newline="")
         out = csv.writer(text)
         out.writerow(df.columns)
@@ -157,6 +181,16 @@ FEATURE_RECORD = (
 ARTIST_RECORD = "name string, genres array<string>"
 
 
+def write_landed(df: DataFrame, path: str, record: str, pages: str | None = None) -> None:
+    """Lands the record's fields of ``df`` as JSON pages, a page for each value of ``pages`` or, without it, for each row."""
+    fields = F.struct(*[F.col(f.split(" ", 1)[0]) for f in record.split(", ")])
+    if pages is None:
+        out = df.select(F.array(fields).alias("content"))
+    else:
+        out = df.groupBy(pages).agg(F.collect_list(fields).alias("content")).select("content")
+    out.write.mode("overwrite").json(path)
+
+
 def read_landed(spark: SparkSession, path: str, record: str) -> DataFrame:
     """Records of landed JSON pages, ``{"content": [...]}`` one page per line, with ``ord``, their order of arrival."""
     page = "content array<struct<" + ", ".join(":".join(f.split(" ", 1)) for f in record.split(", ")) + ">>"
