@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 
+from tonearm.operators.seeds import client_problems
 from tonearm.plans import recommend as rec
 from tonearm.schema import FEATURE_WEIGHTS, Request
 
@@ -86,3 +87,14 @@ def test_request_plans_do_not_shuffle_tracks_by_id(spark):
 
     plan = representative_vectors(tracks, asks, ["energy"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_limits_of_the_client(spark):
+    kinds = "request_id bigint, artists array<string>, track_ids array<string>, diversity int, max_artists int, genre_weight double"
+    rows = [
+        (1, ["a"], None, 2, 6, 2.0), (2, list("abcdef"), None, 2, 6, 2.0), (3, list("aabbccd"), [], 4, 2, 2.25), (4, None, ["1", "2", "3", "4", "4"], 1, 12, 5.0),
+        (5, ["a"], ["1", "2", "3", "3", "9", None], None, None, None),
+    ]
+    tracks = spark.createDataFrame([(str(i), "a") for i in range(1, 5)] + [("9", "b"), ("9", None)], "track_id string, artist_name string")
+    got = sorted((r.request_id, r.problem) for r in client_problems(spark.createDataFrame(rows, kinds), tracks).collect())
+    assert got == [(2, "artists"), (3, "genre weight"), (3, "results"), (3, "variety"), (4, "songs"), (5, "genre weight"), (5, "results"), (5, "variety")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tonearm.plans import formats
 from tonearm.plans.tracks import ORACLE as FILLING
 
 ORACLE: dict[str, str] = dict(FILLING)
@@ -273,7 +274,7 @@ ORACLE["dedupe_report"] = f"""WITH combined AS (SELECT *, 0 AS source_ord FROM a
 
 
 def _merge(store: str, new: str) -> str:
-    return f"""WITH store AS (SELECT * FROM added_artists WHERE batch_no < 10), new AS (SELECT * FROM added_artists WHERE batch_no >= 10),
+    return f"""WITH store AS (SELECT * FROM added_artists WHERE coalesce(batch_no, -1) < 10), new AS (SELECT * FROM added_artists WHERE batch_no >= 10),
     combined AS (SELECT *, 0 AS source_ord FROM store s WHERE {store} UNION ALL SELECT *, 1 FROM new n WHERE {new}),
     {_reasons('combined')} SELECT added_id, source_ord, reason FROM reasons"""
 
@@ -286,7 +287,7 @@ ORACLE["genre_update"] = """WITH changes AS (
     SELECT artist_name, genre FROM added_artists WHERE batch_no >= 10 AND artist_name IS NOT NULL AND genre IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY artist_name ORDER BY added_id DESC) = 1)
   SELECT s.added_id, coalesce(c.genre, s.genre) AS genre, s.genre AS old_genre
-  FROM added_artists s LEFT JOIN changes c ON s.artist_name = c.artist_name WHERE s.batch_no < 10"""
+  FROM added_artists s LEFT JOIN changes c ON s.artist_name = c.artist_name WHERE coalesce(s.batch_no, -1) < 10"""
 ORACLE["row_pick"] = """SELECT added_id, batch_no FROM added_artists
   QUALIFY row_number() OVER (PARTITION BY batch_no ORDER BY added_id) IN (1, 2, 3, 7)"""
 ORACLE["raw_projection"] = "SELECT added_id, artist_name, track_id, year, mode FROM added_artists"
@@ -302,3 +303,18 @@ ORACLE["distinct_genres"] = "SELECT DISTINCT genre FROM data_tracks WHERE genre
 ORACLE["predicate_count"] = f"SELECT count(*) FILTER (WHERE {_REMIX}) AS matching, count(*) AS rows FROM data_tracks"
 ORACLE["first_value_report"] = """SELECT artist_name, count(*) AS rows, arg_min_null(genre, added_id) AS first_genre
   FROM added_artists WHERE artist_name IS NOT NULL GROUP BY artist_name"""
+
+# ---- sources, sinks and request rules -------------------------------------------------------------------------------
+
+_NEW = f"""WITH combined AS (SELECT *, 1 AS source_ord FROM added_artists), {_reasons('combined')}
+  SELECT added_id, track_id, reason FROM reasons JOIN (SELECT added_id, track_id FROM added_artists) USING (added_id)"""
+_ARTIST_GENRES = f"""WITH firsts AS (SELECT artist_name, genre FROM added_artists WHERE artist_name IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY artist_name ORDER BY added_id) = 1),
+  named AS (SELECT * FROM firsts WHERE genre IS NOT NULL),
+  terms AS (SELECT artist_name, 0 AS pos, {_strip("lower(genre)")} AS term FROM named
+    UNION ALL SELECT artist_name, 1, {_strip("lower(list_extract(string_split(genre, ' '), -1))")} FROM named),
+  hits AS (SELECT t.artist_name, CASE WHEN t.term = s.key THEN 0 ELSE 1 END AS phase, t.pos, s.ord, s.genre
+    FROM terms t JOIN genre_synonyms s ON t.term <> '' AND (contains(t.term, s.key) OR contains(s.key, t.term)))
+  SELECT n.artist_name, b.genre AS resolved FROM named n
+  LEFT JOIN (SELECT artist_name, genre FROM hits QUALIFY row_number() OVER (PARTITION BY artist_name ORDER BY phase, pos, ord) = 1) b USING (artist_name)"""
+ORACLE |= formats.oracle(ORACLE["recommend_top"], _NEW, _ARTIST_GENRES, _unit("popularity", _known("popularity")))

@@ -11,13 +11,14 @@ from tonearm.functions import text, vector
 from tonearm.operators import clean, directory, ingest, reports, seeds, taxonomy
 from tonearm.plans import encode as encoding
 from tonearm.plans import recommend as rec
+from tonearm.plans import formats
 from tonearm.plans import tracks as filling
 from tonearm.schema import DEFAULTS, FEATURE_WEIGHTS, RAW_COLUMNS, RAW_STRINGS
 from tonearm.session import durable
 from tonearm.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = dict(filling.QUERIES)
+QUERIES: dict[str, Query] = dict(filling.QUERIES) | formats.QUERIES
 
 HOST = "play.tunes.example"
 
@@ -333,7 +334,7 @@ def dedupe_report(spark: SparkSession, folder: str) -> DataFrame:
 def _store_and_new(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The first batches as the store, the last two as what has newly landed."""
     added = _added(spark, folder)
-    return added.filter("batch_no < 10"), added.filter("batch_no >= 10")
+    return added.filter("batch_no < 10 or batch_no is null"), added.filter("batch_no >= 10")
 
 
 def _merge(mode: str) -> Query:

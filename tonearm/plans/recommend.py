@@ -31,6 +31,8 @@ BLOCK = 512
 NAMES = ("track_id", "artist_name", "track_name", "genre")
 #: Decimals at which two distances count as equal, so that ties are settled by the track id.
 DECIMALS = 9
+#: More than the error of a distance got by matrix products.
+SLACK = 1e-6
 
 
 def audio_columns(df: DataFrame) -> list[str]:
@@ -66,7 +68,8 @@ def serving_table(encoded: DataFrame, order: str = "track_id") -> DataFrame:
 def _nearest_of_partition(
     asks: list[Row], audio: Sequence[str], genre: Sequence[str]
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each request the partition's nearest tracks: matrix products, and one bounded list per request."""
+    """For each request the partition's nearest tracks: one matrix product a batch finds those that may be near, whose
+    exact distances go into one bounded list per request."""
     weights = np.array([FEATURE_WEIGHTS[c] for c in audio])
     qa = np.array([[r[c] for c in audio] for r in asks], float).reshape(len(asks), len(audio)) * weights
     qg = np.array([[r[c] for c in genre] for r in asks], float).reshape(len(asks), len(genre))
@@ -74,28 +77,45 @@ def _nearest_of_partition(
     sizes = [CANDIDATES_PER_DIVERSITY * int(r["diversity"]) for r in asks]
     ids = [r["request_id"] for r in asks]
 
+    genre_norms, audio_norms = np.sqrt((qg * qg).sum(1)), (qa * qa).sum(1)
+
+    def about(xa: np.ndarray, xg: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Distances of all tracks to all requests by matrix products, to within ``SLACK``."""
+        both = size[:, None] * genre_norms[None, :]
+        dg = 1.0 - np.divide(xg @ qg.T, both, out=np.zeros_like(both), where=both > 0)
+        return np.sqrt(np.maximum((xa * xa).sum(1)[:, None] + audio_norms[None, :] - 2 * xa @ qa.T, 0.0) + (dg * factor) ** 2)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [np.zeros(0) for _ in asks]
         names = [np.zeros((0, len(NAMES)), object) for _ in asks]
-        norms = np.sqrt((qg * qg).sum(1))
+        bound = np.full(len(asks), np.inf)
         for batch in batches:
             if not batch.num_rows:
                 continue
             xa = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in audio]) * weights
             xg = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in genre]) if genre else np.zeros((len(xa), 0))
-            rows = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in NAMES])
             size = np.sqrt((xg * xg).sum(1))
+            rough = about(xa, xg, size)
             for k in range(len(asks)):
-                both = size * norms[k]
-                dg = 1.0 - np.divide(xg @ qg[k], both, out=np.zeros(len(xa)), where=both > 0)
-                d = np.round(np.sqrt(((xa - qa[k]) ** 2).sum(1) + (dg * factor[k]) ** 2), DECIMALS)
-                near = np.arange(len(d)) if len(best[k]) < sizes[k] else np.flatnonzero(d <= best[k].max())
-                d, n = np.concatenate([best[k], d[near]]), np.concatenate([names[k], rows[near]])
+                limit = bound[k]
+                if len(xa) > sizes[k]:
+                    limit = min(limit, np.partition(rough[:, k], sizes[k] - 1)[sizes[k] - 1] + SLACK)
+                near = np.flatnonzero(rough[:, k] <= limit + SLACK)
+                if not len(near):
+                    continue
+                both = size[near] * genre_norms[k]
+                dg = 1.0 - np.divide(xg[near] @ qg[k], both, out=np.zeros(len(near)), where=both > 0)
+                d = np.round(np.sqrt(((xa[near] - qa[k]) ** 2).sum(1) + (dg * factor[k]) ** 2), DECIMALS)
+                own = batch.take(pa.array(near))
+                rows = np.column_stack([own.column(c).to_numpy(zero_copy_only=False) for c in NAMES])
+                d, n = np.concatenate([best[k], d]), np.concatenate([names[k], rows])
                 if len(d) > sizes[k]:
                     close = np.flatnonzero(d <= np.partition(d, sizes[k] - 1)[sizes[k] - 1])
                     close = close[np.lexsort((n[close, 0], d[close]))][: sizes[k]]
                     d, n = d[close], n[close]
                 best[k], names[k] = d, n
+                if len(d) == sizes[k]:
+                    bound[k] = d.max()
         for k, (d, n) in enumerate(zip(best, names)):
             if len(d):
                 columns = [pa.array(n[:, i], pa.string()) for i in range(len(NAMES))]

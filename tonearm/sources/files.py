@@ -120,7 +120,8 @@ def write_csv_zip(df: DataFrame, path: str, member: str = "tracks.csv") -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("compression", "gzip").option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, level: int = 9, partition_by: tuple[str, ...] = ()) -> None:
