@@ -1,13 +1,17 @@
 import datetime as dt
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from tonearm.functions.missing import number_or_null
 from tonearm.operators import clean, directory, ingest, reports, seeds, skew, taxonomy
-from tonearm.operators.impute import Field, fill_category, fill_numbers
+from tonearm.operators.impute import Field, fill_category, fill_numbers, known_name
 from tonearm.operators.skew import attach
 from tonearm.plans.encode import encode
+from tonearm.plans.tracks import FIELDS
+from tonearm.sources.tables import table
 
 
 def test_curve(spark):
@@ -223,3 +227,25 @@ def test_skewed_keys_give_the_same_rows_whichever_way_they_join(spark, monkeypat
     monkeypatch.setattr(skew, "HEAVY", 2)  # no key is heavy
     assert run() == heavy and heavy[0] == sorted(want)
     assert heavy[1] == sorted(i for i, _, a, *_ in rows if a and sum(r[2] == a for r in rows) >= 90)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_filled_values_are_nearer_than_the_mean(spark):
+    """A tenth of the known values of each field hidden in turn: error of the filled ones against their spread."""
+    tracks = table(spark, "/root/testdata/sf0.01", "data_tracks").select("row_id", "artist_name", "genre", "fetched_at", *[f.name for f in FIELDS])
+    hide = F.pmod(F.xxhash64(F.lit(3), "row_id"), F.lit(10)) == 0
+    for f, most in zip(FIELDS, (0.5, 0.8, 0.95)):
+        known = number_or_null(F.col(f.name).cast("double"), f.low, f.high)
+        blind = tracks.withColumn(f.name, F.when(~hide, F.col(f.name)))
+        got = fill_numbers(blind, "row_id", "artist_name", "genre", "fetched_at", FIELDS).select("row_id", F.col(f.name).alias("got"))
+        both = tracks.filter(hide).select("row_id", known.alias("y")).filter("y is not null").join(got, "row_id")
+        row = both.agg(F.sqrt(F.avg((F.col("got") - F.col("y")) ** 2)).alias("error"), F.stddev_pop("y").alias("spread")).first()
+        print(f.name, round(row["error"], 2), round(row["spread"], 2))
+        assert row["error"] < most * row["spread"], (f.name, row)
+    blind = tracks.withColumn("genre", F.when(~hide, F.col("genre")))
+    got = fill_category(blind, "row_id", "artist_name", "genre", "fetched_at").select("row_id", F.lower("genre").alias("got"))
+    both = tracks.filter(hide).select("row_id", known_name(F.col("genre")).alias("y")).filter("y is not null").join(got, "row_id")
+    right = both.agg(F.avg((F.col("got") == F.col("y")).cast("double"))).first()[0]
+    often = both.groupBy("y").count().agg(F.max("count") / F.sum("count")).first()[0]
+    print("genre", round(right, 3), "most frequent", round(often, 3))
+    assert right > 2 * often
