@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tonearm.llm import topn
+from tonearm.llm import heap, topn
 
 
 def test_against_sorting_with_a_hot_group_and_ties(spark):
@@ -30,3 +30,16 @@ def test_heaps_are_built_before_the_shuffle(spark):
     df = spark.range(10).selectExpr("id", "id % 2 as g", "cast(id as double) as s")
     plan = topn.top_n_per_group(df, "g", F.col("s"), "id", 2)._jdf.queryExecution().toString()
     assert "partial_collect_top_k" in plan and "Window" not in plan
+
+
+def test_heaps_and_what_stands_in_for_them(spark, monkeypatch):
+    df = spark.createDataFrame([(g, v) for g in "ab" for v in range(9)], "g string, v int")
+
+    def run():
+        got = df.groupBy("g").agg(heap.largest(F.col("v"), 3).alias("l"), heap.smallest(F.col("v"), 2).alias("s"))
+        return sorted((r.g, r.l, r.s) for r in got.collect())
+
+    assert run() == [("a", [8, 7, 6], [0, 1]), ("b", [8, 7, 6], [0, 1])]
+    own = run()
+    monkeypatch.setattr(heap, "_top_k", None)
+    assert run() == own

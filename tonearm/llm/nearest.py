@@ -18,10 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
+from tonearm.llm.heap import smallest
 from tonearm.llm.hilbert import Orderings
 from tonearm.operators.skew import attach
 from tonearm.session import durable, shuffle_partitions
@@ -144,11 +144,6 @@ def _windows(window: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def smallest(entry: Column, n: int) -> Column:
-    """Aggregate: the ``n`` smallest values, by Spark's mergeable bounded heap."""
-    return InternalFunction.collect_top_k(entry, n, True)
-
-
 def nearest_points(points: DataFrame, k: int, curves: int, window: int) -> DataFrame:
     """``(point, near)`` for distinct points ``(point, x)``: up to k ``(squared distance, point)``, best first."""
     spark = points.sparkSession

@@ -10,21 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
+
+from tonearm.llm.heap import largest
 
 #: Unicode-aware test for a name made of nothing but white space.
 BLANK = r"(?U)^[\s\p{Z}]*$"
 
 
-def bounded_heap(entry: Column, n: int) -> Column:
-    """Aggregate: the ``n`` largest ``entry`` values of a group, largest first.
-
-    Spark's own mergeable heap aggregate (an object hash aggregate with partial
-    and final steps, spilling to a sort when there are many groups).
-    """
-    return InternalFunction.collect_top_k(entry, n, False)
-
-
 def top_n_per_group(df: DataFrame, group: str, score: Column, ident: str, n: int) -> DataFrame:
     """The ``n`` highest-scoring rows of every group: ``(group, ident, score, rank)``.
 
@@ -41,7 +33,7 @@ def top_n_per_group(df: DataFrame, group: str, score: Column, ident: str, n: int
     ).filter("__g is not null and __s is not null and not isnan(__s) and __i is not null")
     # ~i reverses the order of every bigint, the smallest included, where -i would overflow
     entry = F.struct(F.col("__s").alias("s"), F.bitwise_not(F.col("__i")).alias("r"))
-    heaps = slim.groupBy("__g").agg(bounded_heap(entry, n).alias("__h"))
+    heaps = slim.groupBy("__g").agg(largest(entry, n).alias("__h"))
     rows = heaps.select(F.col("__g"), F.posexplode("__h").alias("__p", "__e"))
     return rows.select(
         F.col("__g").alias(group),
