@@ -29,7 +29,8 @@ from tonearm.session import durable, shuffle_partitions
 #: Points of a partition of a curve, and points of the sample for each bound between partitions.
 PART_ROWS, SAMPLE_ROWS = 50_000, 200
 _PLACED = "part int, curve int, place bigint, point bigint, x array<double>"
-_LISTS = "point bigint, near array<struct<d:double,id:bigint>>"
+_PACKED, _LISTS = "point bigint, near binary", "point bigint, near array<struct<d:double,id:bigint>>"
+_ENTRY = np.dtype([("d", "<f8"), ("id", "<i8")])
 _LIST_TYPE = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64())]))
 
 
@@ -112,12 +113,55 @@ def best_in_window(
 
 
 def _lists(points: np.ndarray, d: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+    """Each point's list as the bytes of its entries, which Spark only moves."""
     real = np.isfinite(d)
+    entries = np.empty(int(real.sum()), _ENTRY)
+    entries["d"], entries["id"] = d[real], near[real]
     offsets = np.zeros(len(points) + 1, np.int32)
-    np.cumsum(real.sum(1), out=offsets[1:])
-    values = pa.StructArray.from_arrays([pa.array(d[real]), pa.array(near[real])], names=["d", "id"])
-    lists = pa.ListArray.from_arrays(pa.array(offsets), values)
-    return pa.RecordBatch.from_arrays([pa.array(points), lists.cast(_LIST_TYPE)], names=["point", "near"])
+    np.cumsum(real.sum(1) * _ENTRY.itemsize, out=offsets[1:])
+    lists = pa.Array.from_buffers(pa.binary(), len(points), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(points), lists], names=["point", "near"])
+
+
+def _merge(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Lists of all curves, sorted by point, to the k best of each point: repeats removed, nearer first, then the smaller id."""
+
+    def merged(points: np.ndarray, lists: list[bytes]) -> pa.RecordBatch:
+        entries = np.frombuffer(b"".join(lists), _ENTRY)
+        point = np.repeat(points, [len(x) // _ENTRY.itemsize for x in lists])
+        d, near = entries["d"], entries["id"]
+        order = np.lexsort((near, d, point))
+        point, d, near = point[order], d[order], near[order]
+        own = np.ones(len(point), bool)  # one neighbour has one distance, so its repeats stand together
+        own[1:] = (point[1:] != point[:-1]) | (near[1:] != near[:-1])
+        point, d, near = point[own], d[own], near[own]
+        first = np.ones(len(point), bool)
+        first[1:] = point[1:] != point[:-1]
+        begin = np.flatnonzero(first)
+        place = np.arange(len(point)) - np.repeat(begin, np.diff(np.append(begin, len(point))))
+        keep = place < k
+        point, d, near = point[keep], d[keep], near[keep]
+        first = np.ones(len(point), bool)
+        first[1:] = point[1:] != point[:-1]
+        begin = np.flatnonzero(first)
+        values = pa.StructArray.from_arrays([pa.array(d), pa.array(near)], names=["d", "id"])
+        offsets = pa.array(np.append(begin, len(point)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(point[begin]), pa.ListArray.from_arrays(offsets, values).cast(_LIST_TYPE)], names=["point", "near"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points, lists = np.zeros(0, np.int64), []
+        for batch in batches:
+            points = np.concatenate([points, batch.column("point").to_numpy()])
+            lists += batch.column("near").to_pylist()
+            if len(points):
+                whole = int(np.searchsorted(points, points[-1]))  # the last point may go on in the next batch
+                if whole:
+                    yield merged(points[:whole], lists[:whole])
+                points, lists = points[whole:], lists[whole:]
+        if len(points):
+            yield merged(points, lists)
+
+    return run
 
 
 def _windows(window: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -153,13 +197,13 @@ def nearest_points(points: DataFrame, k: int, curves: int, window: int) -> DataF
     bounds = _bounds(points, orderings, shape["n"])
     placed = points.select("point", "x").mapInArrow(_place(orderings, bounds), _PLACED)
     ranged = placed.repartitionById(curves * (len(bounds[0]) + 1), F.col("part")).sortWithinPartitions("place", "point")
-    lists = ranged.select("curve", "point", "x").mapInArrow(_windows(window, k), _LISTS)
-    lists = lists.groupBy("point").agg(F.flatten(F.collect_list("near")).alias("near"))
-    return lists.select("point", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
+    lists = ranged.select("curve", "point", "x").mapInArrow(_windows(window, k), _PACKED)
+    lists = lists.repartition(shuffle_partitions(spark), "point").sortWithinPartitions("point")
+    return lists.mapInArrow(_merge(k), _LISTS)
 
 
 def nearest_pairs(
-    df: DataFrame, ident: str, values: list[str], k: int = 5, curves: int = 8, window: int = 64
+    df: DataFrame, ident: str, values: list[str], k: int = 5, curves: int | None = None, window: int = 64
 ) -> DataFrame:
     """``(a, b, d)``: every pair of rows of which one is among the other's k nearest; ``a < b``.
 
@@ -168,9 +212,11 @@ def nearest_pairs(
     are left out. Equal rows are neighbours at distance 0; a lone row has no
     pair, an empty table none at all. Other columns are not read.
 
-    ``curves`` and ``window`` set the accuracy: the loss is measured in the tests
-    and in the README. A crowd of equal vectors is served exactly.
+    ``curves`` (8 for vectors of up to four values, else 48) and ``window`` set the
+    accuracy: the loss is measured in the tests and in the README. A crowd of equal
+    vectors is served exactly.
     """
+    curves = curves or (8 if len(values) <= 4 else 48)
     finite = [F.abs(F.col(c).cast("double")) < F.lit(float("inf")) for c in values]
     rows = df.select(
         F.col(ident).cast("bigint").alias("id"),
