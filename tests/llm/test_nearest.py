@@ -94,19 +94,3 @@ def test_wide_vectors(spark):
     want = brute(np.arange(1500), x.astype(float))
     assert len(got & want) / len(want) >= 0.9
 
-
-def test_merging_does_not_depend_on_batches():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(7)
-    points = np.sort(rng.integers(0, 12, 60))
-    near, d = rng.integers(0, 9, (60, 4)), None
-    d = near * 0.5 + points[:, None]  # one neighbour, one distance
-    batch = nearest._lists(points, d, near)
-
-    def run(cuts):
-        parts = nearest._merge(3)(iter([batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])]))
-        return [r for part in parts for r in zip(part.column("point").to_pylist(), part.column("near").to_pylist())]
-
-    want = [(p, [{"d": n * 0.5 + p, "id": n} for n in sorted({int(n) for n in near[points == p].ravel()})[:3]]) for p in sorted({int(p) for p in points})]
-    assert run([0, 60]) == want == run([0, 1, 2, 17, 18, 40, 60])
