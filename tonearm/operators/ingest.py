@@ -99,22 +99,23 @@ def removal_reasons(combined: DataFrame, main: DataFrame, ident: str = "row_ord"
     earlier row of the artist. Earlier is by (source_ord, ``ident``).
     """
     order = F.struct("source_ord", ident)
-    total = combined.count()
     known = main.select("track_id").filter("track_id is not null").distinct().withColumn("in_main", F.lit(True))
-    firsts = combined.groupBy("track_id").agg(F.min(order).alias("first"), F.count("*").alias("size"))
-    # sizes first, so that an id, or no id, on a third of the rows is neither a window nor a shuffle key
-    ids = firsts.filter("track_id is not null").join(known, "track_id", "left")
-    rows = attach(combined, ids, "track_id", "size", total, ident)
-    nameless = firsts.filter("track_id is null").agg(F.min("first").alias("null_first"))
+    # firsts by aggregates, so that no task gathers an id's rows; rows without an id are scattered, and rows of a frequent
+    # id or title are left to the adaptive split of skewed joins, which meet one record each
+    ids = combined.filter("track_id is not null").groupBy("track_id").agg(F.min(order).alias("first"))
+    ids = ids.join(known, "track_id", "left").withColumn("salt", F.lit(0).cast("bigint"))
+    scatter = F.when(F.col("track_id").isNull(), F.xxhash64(ident)).otherwise(F.lit(0))
+    rows = combined.withColumn("salt", scatter).join(ids, ["track_id", "salt"], "left").drop("salt")
+    nameless = combined.filter("track_id is null").agg(F.min(order).alias("null_first"))
     rows = rows.join(F.broadcast(nameless))  # one row
     by_id = F.coalesce("in_main", F.lit(False)) | (order > F.coalesce("first", "null_first"))
-    rows = rows.withColumn("by_id", by_id).drop("first", "size", "in_main", "null_first")
+    rows = rows.withColumn("by_id", by_id).drop("first", "in_main", "null_first")
     name = F.concat(F.coalesce(F.concat(F.lit("="), "artist_name"), F.lit("")), F.lit("\0"), normalized_title(F.col("track_name")))
     rows = rows.withColumn("name_key", F.when(~F.col("by_id"), name))
-    titles = rows.filter("name_key is not null").groupBy("name_key").agg(F.min(order).alias("first"), F.count("*").alias("size"))
-    rows = attach(rows, titles, "name_key", "size", total, ident)
+    titles = rows.filter("name_key is not null").groupBy("name_key").agg(F.min(order).alias("first"))
+    rows = rows.join(titles, "name_key", "left")
     reason = F.when(F.col("by_id"), "duplicate track_id").when(order > F.col("first"), "similar name")
-    return rows.withColumn("reason", reason).drop("by_id", "name_key", "first", "size")
+    return rows.withColumn("reason", reason).drop("by_id", "name_key", "first")
 
 
 def override_artists(store: DataFrame, artists: DataFrame) -> DataFrame:
