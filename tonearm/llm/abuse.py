@@ -47,8 +47,8 @@ CATEGORIES = ("insult", "threat", "group", "sexual", "learned")
 VOCABULARIES = ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Rated documents phrases are learned from, at most; the sample is chosen by a hash of the document's id.
 MAX_RATED = 20_000
-#: Words of a learned phrase.
-PHRASE_WORDS = (3, 4, 5)
+#: Words of a learned phrase; so many of them must be of this rank or rarer, or the phrase says nothing by itself.
+PHRASE_WORDS, CONTENT_WORDS, FREQUENT = (3, 4, 5), 2, 1000
 #: Rated documents that must hold a phrase, and the share of them its raters call abusive: the lower bound of Wilson's
 #: interval at so many standard deviations.
 LEAST_DOCUMENTS, LEAST_SHARE, DEVIATIONS = 4, 0.5, 1.64
@@ -554,7 +554,8 @@ def learn_phrases(
     ``ratings`` has rows ``(ident, rating)`` with a rating of 0 or 1, several per
     document; their mean counts. At most ``most_rated`` rated documents are used, a
     sample by a hash of the id. A phrase is kept if at least ``LEAST_DOCUMENTS`` of
-    them hold it and their mean rating is surely (see ``DEVIATIONS``) ``LEAST_SHARE`` or more. Null ids and
+    them hold it and their mean rating is surely (see ``DEVIATIONS``) ``LEAST_SHARE`` or more,
+    and if it has ``CONTENT_WORDS`` words that are not frequent. Null ids and
     ratings are ignored; without ratings nothing is learned.
     """
     votes = ratings.select(F.col(ident).alias("id"), F.col(rating).cast("double").alias("r")).filter("id is not null and r is not null")
@@ -567,7 +568,11 @@ def learn_phrases(
     surely = (p + z2 / (2 * n) - DEVIATIONS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     kept = counts.filter((n >= LEAST_DOCUMENTS) & (surely >= LEAST_SHARE))
     # phrases of most_rated documents, each in several of them: bounded as the sample is
-    return sorted(tuple(r["phrase"].split(" ")) for r in kept.select("phrase").collect())
+    found = {tuple(r["phrase"].split(" ")) for r in kept.select("phrase").collect()}
+    rank = ordinary_words(tuple(vocabularies))
+    found = {p for p in found if sum(rank.get(w, FREQUENT) >= FREQUENT for w in set(p)) >= CONTENT_WORDS}
+    # a phrase with a shorter one inside says nothing more
+    return sorted(p for p in found if not any(p[i : i + n] in found for n in range(1, len(p)) for i in range(len(p) - n + 1)))
 
 
 def abuse_rates(scored: DataFrame, source: str, threshold: float = THRESHOLD) -> DataFrame:
