@@ -521,7 +521,7 @@ def abuse_scores(
 
 
 def _phrases_of(vocabularies: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Every phrase of the rated texts the rules find nothing in, with the document's rating; once per document."""
+    """Every phrase, with words enough that are not frequent, of the rated texts the rules find nothing in, once per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(vocabularies, ())
@@ -533,7 +533,13 @@ def _phrases_of(vocabularies: tuple[str, ...]) -> Callable[[Iterator[pa.RecordBa
                 own: set[str] = set()
                 for passage in passages(clean(text)):
                     words = judge.words(joined_letters(passage))
-                    own.update(" ".join(words[i : i + n]) for n in PHRASE_WORDS for i in range(len(words) - n + 1))
+                    upto = [0, *accumulate(judge.rank(w) >= FREQUENT for w in words)]
+                    own.update(
+                        " ".join(words[i : i + n])
+                        for n in PHRASE_WORDS
+                        for i in range(len(words) - n + 1)
+                        if upto[i + n] - upto[i] >= CONTENT_WORDS
+                    )
                 for phrase in own:
                     entry = found.setdefault(phrase, [0.0, 0.0])
                     entry[0] += 1
@@ -569,8 +575,6 @@ def learn_phrases(
     kept = counts.filter((n >= LEAST_DOCUMENTS) & (surely >= LEAST_SHARE))
     # phrases of most_rated documents, each in several of them: bounded as the sample is
     found = {tuple(r["phrase"].split(" ")) for r in kept.select("phrase").collect()}
-    rank = ordinary_words(tuple(vocabularies))
-    found = {p for p in found if sum(rank.get(w, FREQUENT) >= FREQUENT for w in set(p)) >= CONTENT_WORDS}
     # a phrase with a shorter one inside says nothing more
     return sorted(p for p in found if not any(p[i : i + n] in found for n in range(1, len(p)) for i in range(len(p) - n + 1)))
 
