@@ -64,3 +64,10 @@ def test_a_full_cache_gives_the_same(monkeypatch, k):
     fresh = tokens.FragmentEncoder()
     flat, _ = fresh.encode(["one two three four five six seven eight nine"])
     assert np.array_equal(flat, ENCODER.encode(["one two three four five six seven eight nine"])[0]) and len(fresh.known) == k
+
+
+def test_ids_read_back_as_texts(spark):
+    rows = [(1, "Ünïcode — 漢字 \n\t  two  spaces's"), (2, ""), (3, None), (None, "x" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    back = tokens.texts_of(tokens.token_ids(df, "doc_id", "text"), "doc_id").collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in back) == sorted(((i or 0), t or "") for i, t in rows)

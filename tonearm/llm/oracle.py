@@ -45,6 +45,11 @@ ORACLE: dict[str, str] = {
     "p3_found": f"WITH {_KEYS} SELECT first AS row_id_a, row_id AS row_id_b FROM sets WHERE row_id <> first",
     "p3_counts": f"""WITH {_KEYS} SELECT row_id, copies FROM sets WHERE row_id = first
       UNION ALL SELECT row_id, 1 FROM keyed WHERE a = '' OR b = ''""",
+    "p6_texts": "SELECT doc_id, md5(coalesce(text, '')) AS md5 FROM documents",
+    "p7_met": """SELECT mix_name, source, round(greatest(coalesce(sum(weight), 0), 0) / sum(greatest(coalesce(sum(weight), 0), 0)) OVER (PARTITION BY mix_name), 9) AS target_share,
+        max(max_repeats) AS max_repeats, true AS met
+      FROM mix_targets WHERE mix_name IS NOT NULL AND source IS NOT NULL GROUP BY mix_name, source""",
+    "p8_read": "SELECT source, count(*) AS documents, count(*) AS scored FROM documents GROUP BY source",
     "p5_found": f"SELECT row_id FROM ({_TOP})",
     "p5_ranked": _TOP,
 }

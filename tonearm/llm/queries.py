@@ -63,6 +63,11 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids read back as texts."""
+    return tokens.texts_of(p6_ids(spark, folder), "doc_id").select("doc_id", F.md5("text").alias("md5"))
+
+
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix_sources(
         table(spark, folder, "documents"), table(spark, folder, "mix_targets"),
@@ -78,6 +83,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def p7_met(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets, what there is to meet them, and whether the shares reached are within a hundredth of the attainable ones."""
+    met = F.abs(F.col("share") - F.col("attainable_share")) <= 0.01
+    return p7_shares(spark, folder).select("mix_name", "source", F.round("target_share", 9).alias("target_share"), "max_repeats", met.alias("met"))
+
+
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     phrases = abuse.learn_phrases(documents, table(spark, folder, "content_labels"), "doc_id", "text", "toxic")
@@ -92,6 +103,12 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.abuse_rates(p8_scores(spark, folder), "source")
 
 
+def p8_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents read of each source; every one has a score of 0 or more."""
+    scored = p8_scores(spark, folder)
+    return scored.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= 0).alias("scored"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_pairs": p1_pairs,
@@ -101,9 +118,12 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_ranked": p5_ranked,
     "p6_ids": p6_ids,
+    "p6_texts": p6_texts,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_met": p7_met,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
+    "p8_read": p8_read,
 }

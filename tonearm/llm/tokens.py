@@ -148,6 +148,23 @@ def token_ids(df: DataFrame, ident: str, text: str, vocabulary: str = DEFAULT_VO
     return spread(slim).mapInArrow(_encode_batches(vocabulary, False), schema)
 
 
+def _decode_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {rank: token for token, rank in read_ranks(path).items()}
+        for batch in batches:
+            texts = [b"".join(pieces[i] for i in ids or ()).decode("utf-8", "replace") for ids in batch.column("ids").to_pylist()]
+            kept = [c for c in batch.schema.names if c != "ids"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+
+    return run
+
+
+def texts_of(ids: DataFrame, ident: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """``(ident, text)``: what the ids of ``token_ids`` say; null and empty lists are empty texts."""
+    schema = f"`{ident}` {ids.schema[ident].dataType.simpleString()}, text string"
+    return ids.select(ident, "ids").mapInArrow(_decode_batches(vocabulary), schema)
+
+
 def token_counts(df: DataFrame, keep: list[str], text: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The columns ``keep`` of ``df`` and ``tokens``, the number of ids of ``text``."""
     slim = df.select(*[F.col(c) for c in keep], F.col(text).cast("string").alias("__text"))
