@@ -54,6 +54,48 @@ def test_every_topic_keeps_its_share_however_many_there_are(spark):
         assert np.allclose(rates.groupby("source")["taken"].sum(), [7500, 2500], rtol=1e-3)
 
 
+def uneven(low):
+    rng = np.random.default_rng(3)
+    cells = [(f"s{s}", f"l{m}", f"t{t}", int(rng.integers(low, 900))) for s in range(3) for m in range(2) for t in range(4) if s + m + t != 5]
+    return cells, {s: sum(c[3] for c in cells if c[0] == s) for s in ("s0", "s1", "s2")}
+
+
+CELLS, GOALS, KEY = "source string, m0 string, m1 string, tokens bigint", "mix_name string, source string, want double, cap int", ["mix_name", "source", "m0", "m1"]
+
+
+def test_rates_do_not_depend_on_how_cells_are_raked(spark):
+    cells, of = uneven(600)
+    goals = [("a", "s0", 0.1 * of["s0"], 1), ("a", "s1", 0.0, 1), ("a", "s2", 0.7 * of["s2"], 4), ("b", "s0", 0.5 * of["s0"], 2), ("b", "s2", 1.5 * of["s2"], 2)]
+    table, plan = spark.createDataFrame(cells, CELLS), spark.createDataFrame(goals, GOALS)
+    at_once, spread = (mixing.raked_rates(t, plan, ["m0", "m1"], n).toPandas().sort_values(KEY, ignore_index=True) for t, n in ((table, 10**6), (table.repartition(7), 0)))
+    assert len(at_once) == len(spread) == sum(c[0] == g[1] and g[2] > 0 for c in cells for g in goals)
+    assert (at_once[[*KEY, "rate"]] == spread[[*KEY, "rate"]]).all(axis=None)  # to the last bit
+
+
+def test_aggregates_keep_caps_as_one_task_does(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SWEEPS", 4)
+    cells, of = uneven(20)
+    # s0 must give all it may, s1 nearly so
+    goals = [("m", "s0", 2.0 * of["s0"], 2), ("m", "s1", 0.97 * of["s1"], 1), ("m", "s2", 2.4 * of["s2"], 3)]
+    table, plan = spark.createDataFrame(cells, CELLS), spark.createDataFrame(goals, GOALS)
+    spread = mixing.raked_rates(table, plan, ["m0", "m1"], 0).toPandas().sort_values(KEY, ignore_index=True)
+    alone = mixing._rake_mix(["m0", "m1"])(table.join(plan, "source").toPandas()).sort_values(KEY, ignore_index=True)
+    assert len(spread) == len(cells) and (spread[[*KEY, "rate"]] == alone[[*KEY, "rate"]]).all(axis=None)
+    capped, taken = (spread["rate"] == spread["cap"]).groupby(spread["source"]).mean(), (spread["rate"] * spread["tokens"]).groupby(spread["source"]).sum()
+    assert capped["s0"] == 1 and 0 < capped["s1"] < 1 and (spread["rate"] <= spread["cap"]).all()
+    assert np.allclose(taken, [g[2] for g in goals], rtol=1e-9)
+
+
+def test_topics_are_met_beside_a_source_that_must_give_all():
+    rng = np.random.default_rng(0)
+    source, topic = (a.ravel() for a in np.meshgrid(np.arange(3), np.arange(8), indexing="ij"))
+    tokens = rng.integers(100, 900, 24).astype(float)
+    of = np.bincount(source, tokens)
+    rate = mixing.rake(tokens, source, [topic], of * [2.0, 0.7, 1.0], np.array([2.0, 4.0, 4.0]))
+    got, natural = np.bincount(topic, rate * tokens), np.bincount(topic, tokens)
+    assert (rate[source == 0] == 2.0).all() and np.allclose(got / got.sum(), natural / natural.sum(), rtol=1e-5)
+
+
 def test_calibration_is_as_near_as_any_factor(spark):
     rng = np.random.default_rng(5)
     rows = [("m", f"s{i % 2}", i, int(rng.integers(1, 90)), float(rng.choice([0.2, 0.7, 1.4])), 2, float(rng.random())) for i in range(300)]

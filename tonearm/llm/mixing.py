@@ -2,8 +2,11 @@
 
 Method. Tokens are summed by cell (source, language, topic). Iterative
 proportional fitting rakes the cells' weights in turn to the topic, language and
-source marginals; the source marginal comes last and is met exactly. A cell's
+source marginals; the source marginal comes last and is met exactly, by the level
+to which all cells of a source that are not at their cap are raised. A cell's
 weight over its tokens is the expected number of times a document of it is taken.
+Weights are summed in whole grains of a mix, and such sums are exact in any order:
+the rates are the same to the last bit however the cells are spread over tasks.
 Documents are then sampled at those rates by a hash of their id: ``floor(rate +
 u)`` times. One factor per source is calibrated on the whole data, so that the
 sampled tokens meet the target to within a document: each document's repetitions
@@ -15,6 +18,7 @@ Cells, rates and documents stay in Spark; the driver sees one row per target.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -29,9 +33,12 @@ from tonearm.session import durable, shared_dir
 
 #: Rows a table of targets may have: it is a hand-written plan, and is broadcast.
 MAX_TARGETS = 10_000
-#: Cells of all mixes up to which one task rakes a mix's whole table; more are raked by aggregates over all tasks.
+#: Cells of all mixes up to which one task rakes a mix's whole table; more are raked by aggregates over all tasks, to the same rates.
 CELLS_AT_ONCE = 200_000
-SWEEPS, SWEEPS_OF_AGGREGATES = 60, 8
+#: Most sweeps over the margins, and passes for the levels of a sweep. A mix is done before when a sweep moves no rate by more than SETTLED of its source's mean rate.
+SWEEPS, PASSES, SETTLED = 60, 60, 1e-9
+#: A mix has fewer than 2 ** GRAINS grains, so that doubles hold their sums exactly.
+GRAINS = 50
 #: Largest factor of the calibration, and bins of its histogram.
 MOST_FACTOR, BINS = 4, 4096
 
@@ -47,6 +54,29 @@ def sizes_by_tokens(
     )
 
 
+def grain_of(total: float) -> float:
+    """Tokens of a grain: the power of two of which ``total`` has fewer than ``2 ** GRAINS``, and at least half as many."""
+    return math.ldexp(1.0, math.frexp(total)[1] - GRAINS) if total > 0 else 1.0
+
+
+def gives_all(want: np.ndarray, cap: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Must a source give all it may? Then all its cells are at their cap."""
+    return want >= cap * of * (1 - 1e-12)
+
+
+def next_level(
+    level: np.ndarray, least: np.ndarray, want: np.ndarray, cap: np.ndarray, full: np.ndarray, held: np.ndarray, rest: np.ndarray
+) -> np.ndarray:
+    """What a source's rates are multiplied by to meet ``want``, if the cells that ``level`` brings to their cap stay there.
+
+    ``held`` is the natural size of these cells, ``rest`` the raked size of the
+    others. From any level a step leads to one that is not too high; from there
+    (``least``) levels grow until they bring no further cell to its cap.
+    """
+    further = np.divide(want - cap * held, rest, out=np.zeros_like(want), where=rest > 0)
+    return np.where(full, level, np.maximum(further, least))
+
+
 def rake(
     tokens: np.ndarray, source: np.ndarray, margins: Sequence[np.ndarray], want: np.ndarray, cap: np.ndarray
 ) -> np.ndarray:
@@ -56,22 +86,32 @@ def rake(
     (``want`` must not exceed ``cap`` times the source's tokens). The other
     margins are drawn towards their shares of the whole; no rate exceeds its cap.
     """
-    rate = np.ones(len(tokens))
     of = np.bincount(source, tokens, len(want))
-    rate = np.divide(want, of, out=np.zeros_like(want), where=of > 0)[source]
-    total = want.sum()
+    mean = np.divide(want, of, out=np.zeros_like(of), where=of > 0)[source]
+    total = math.fsum(want)
+    grain = grain_of(total)
+    full, most = gives_all(want, cap, of), cap[source]
+    size, want = tokens / grain, want / grain
+    scale = total / grain / size.sum()
+    rate = mean
     for _ in range(SWEEPS):
+        before = rate
         for margin in margins:
-            natural = np.bincount(margin, tokens)
-            now = np.bincount(margin, rate * tokens, len(natural))
-            goal = natural / natural.sum() * total
+            goal = np.bincount(margin, size) * scale
+            now = np.bincount(margin, np.rint(rate * size), len(goal))
             rate = rate * np.divide(goal, now, out=np.ones_like(goal), where=now > 0)[margin]
-        for _ in range(20):  # to the source totals, with what a cap holds back spread over the rest
-            now = np.bincount(source, rate * tokens, len(want))
-            factor = np.divide(want, now, out=np.zeros_like(want), where=now > 0)
-            rate = np.minimum(rate * factor[source], cap[source])
-            if np.allclose(np.bincount(source, rate * tokens, len(want)), want, rtol=1e-9):
+        further, least, amount = np.ones_like(of), np.zeros_like(of), np.rint(rate * size)
+        for _ in range(PASSES):
+            level = further
+            capped = rate * level[source] >= most
+            held = np.bincount(source[capped], size[capped], len(want))
+            rest = np.bincount(source[~capped], amount[~capped], len(want))
+            least = further = next_level(level, least, want, cap, full, held, rest)
+            if (further == level).all():
                 break
+        rate = np.where(full[source], most, np.minimum(rate * level[source], most))
+        if (np.abs(rate - before) <= mean * SETTLED).all():
+            break
     return rate
 
 
@@ -177,14 +217,14 @@ def raked_rates(cells: DataFrame, goals: DataFrame, margins: Sequence[str], at_o
 
     Up to ``at_once`` cells one task of an executor rakes a mix; more are raked by
     aggregates, in which a mix, source or value of a margin of any size is summed
-    before it is shuffled. Both follow the same rule.
+    before it is shuffled. Both take the same steps and give the same rates.
     """
     # goals have a row per target at most
     own = durable(cells.join(F.broadcast(goals), "source"))
     if own.count() <= at_once:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
         return durable(own.groupBy("mix_name").applyInPandas(_rake_mix(list(margins)), f"{fields}, rate double").filter("rate > 0"))
-    return durable(_raked_by_aggregates(own, margins).filter("rate > 0"))
+    return _raked_by_aggregates(own, margins)
 
 
 def _rake_mix(margins: list[str]):
@@ -199,32 +239,61 @@ def _rake_mix(margins: list[str]):
 
 
 def _raked_by_aggregates(own: DataFrame, margins: Sequence[str]) -> DataFrame:
-    """The rule of ``rake``, each step an aggregate of all cells joined back to them."""
-    taken = F.sum(F.col("rate") * F.col("tokens")).alias("now")
-
-    def to_sources(df: DataFrame) -> DataFrame:
-        now = df.groupBy("mix_name", "source").agg(taken)  # a row per target at most
-        factor = F.coalesce(F.try_divide(F.col("want"), F.col("now")), F.lit(0.0))
-        return df.join(F.broadcast(now), ["mix_name", "source"]).withColumn("rate", F.least(F.col("rate") * factor, F.col("cap").cast("double"))).drop("now")
-
-    whole = own.groupBy("mix_name").agg(F.sum("tokens").alias("all"))
-    wanted = own.select("mix_name", "source", "want").distinct().groupBy("mix_name").agg(F.sum("want").alias("goal"))
-    scale = whole.join(wanted, "mix_name").select("mix_name", (F.col("goal") / F.col("all")).alias("scale"))
-    natural = [durable(own.groupBy("mix_name", m).agg(F.sum("tokens").alias("natural"))) for m in margins]
-    raked = to_sources(own.join(F.broadcast(scale), "mix_name").withColumn("rate", F.lit(1.0)))
-    folder = f"{shared_dir(own.sparkSession)}/rake-{uuid.uuid4().hex}"
-    for sweep in range(SWEEPS_OF_AGGREGATES):
-        for m, tokens in zip(margins, natural):
-            now = raked.groupBy("mix_name", m).agg(taken).join(tokens, ["mix_name", m])
-            factor = F.coalesce(F.try_divide(F.col("natural") * F.col("scale"), F.col("now")), F.lit(1.0))
-            raked = raked.join(now, ["mix_name", m]).withColumn("rate", F.col("rate") * factor).drop("now", "natural")
+    """The steps of ``rake``, each an aggregate of all cells joined back to them; the driver sees a row per target."""
+    spark, key = own.sparkSession, ["mix_name", "source"]
+    found = own.groupBy(*key).agg(F.sum("tokens").alias("of"), F.first("want").alias("want"), F.first("cap").alias("cap"))
+    targets = found.toPandas().astype({"of": float, "want": float, "cap": float})
+    mixes = targets.groupby("mix_name")
+    total = mixes["want"].transform(math.fsum)
+    targets["grain"] = total.map(grain_of)
+    targets["scale"] = total / targets["grain"] / (mixes["of"].transform("sum") / targets["grain"])
+    targets["mean"], targets["full"] = targets["want"] / targets["of"], gives_all(targets["want"], targets["cap"], targets["of"])
+    targets["want"] /= targets["grain"]
+
+    def with_targets(df: DataFrame, rows: pd.DataFrame, *columns: str) -> DataFrame:
+        types = ", ".join(f"{c} {'boolean' if c == 'full' else 'double'}" for c in columns)
+        table = spark.createDataFrame(rows[[*key, *columns]].values.tolist(), f"mix_name string, source string, {types}")
+        return df.join(F.broadcast(table), key)  # a row per target at most
+
+    cap, raised = F.col("cap").cast("double"), F.col("rate") * F.col("level")
+    amount, capped = F.rint(F.col("rate") * F.col("size")), raised >= cap
+    met = F.when(F.col("full"), cap).otherwise(F.least(raised, cap))
+    folder = f"{shared_dir(spark)}/rake-{uuid.uuid4().hex}"
+    raked = with_targets(own, targets, "grain", "scale", "mean", "full")
+    raked = raked.withColumn("size", F.col("tokens") / F.col("grain")).withColumn("rate", F.col("mean")).drop("grain")
+    for sweep in range(SWEEPS):
+        raked = raked.withColumn("before", F.col("rate"))
+        for m in margins:
+            now = raked.groupBy("mix_name", m).agg((F.sum("size") * F.max("scale")).alias("goal"), F.sum(amount).alias("now"))
+            now = now.select("mix_name", m, F.coalesce(F.try_divide("goal", "now"), F.lit(1.0)).alias("factor"))
+            raked = raked.join(now, ["mix_name", m]).withColumn("rate", F.col("rate") * F.col("factor")).drop("factor")
         # a written table, not a checkpoint, which would carry the estimates of all sweeps' joins along
-        to_sources(raked).write.mode("overwrite").parquet(f"{folder}/{sweep % 2}")
-        raked = own.sparkSession.read.parquet(f"{folder}/{sweep % 2}")
-    raked = durable(raked.drop("scale"))
-    path = own.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(own.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    return raked
+        raked.write.mode("overwrite").parquet(f"{folder}/{sweep % 2}")
+        raked = spark.read.parquet(f"{folder}/{sweep % 2}")
+        further, least = np.ones(len(targets)), np.zeros(len(targets))
+        for _ in range(PASSES):
+            targets["level"] = further
+            sums = with_targets(raked, targets, "level").groupBy(*key).agg(
+                F.sum(F.when(capped, F.col("size")).otherwise(0.0)).alias("held"),
+                F.sum(F.when(capped, 0.0).otherwise(amount)).alias("rest"),
+                F.bool_and(F.abs(met - F.col("before")) <= F.col("mean") * SETTLED).alias("settled"),
+            )
+            sums = targets.merge(sums.toPandas(), on=key, validate="one_to_one")
+            least = further = next_level(further, least, *(sums[c].to_numpy() for c in ("want", "cap", "full", "held", "rest")))
+            if (further == targets["level"]).all():
+                break
+        done = sums.groupby("mix_name")["settled"].transform("all") | (sweep == SWEEPS - 1)
+        if done.any():
+            parts = with_targets(raked, targets[done], "level").withColumn("rate", met)
+            parts.select(*own.columns, "rate").filter("rate > 0").write.mode("append").parquet(f"{folder}/done")
+        if done.all():
+            break
+        targets = targets[~done].reset_index(drop=True)
+        raked = with_targets(raked, targets, "level").withColumn("rate", met).drop("level", "before")
+    rates = durable(spark.read.parquet(f"{folder}/done"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return rates
 
 
 def _factors(drawn: DataFrame, goals: DataFrame) -> DataFrame:
